@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints
+from . import fingerprints, neardup
 
-QUERIES = {"op1_fingerprints": fingerprints.op1_fingerprints}
+QUERIES = {"op1_fingerprints": fingerprints.op1_fingerprints, "op3_neardup": neardup.op3_neardup}
 ORACLE: dict[str, str] = {}
