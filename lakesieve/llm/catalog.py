@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, neardup
+from . import bpe, fingerprints, neardup
 
-QUERIES = {"op1_fingerprints": fingerprints.op1_fingerprints, "op3_neardup": neardup.op3_neardup}
+QUERIES = {"op1_fingerprints": fingerprints.op1_fingerprints, "op3_neardup": neardup.op3_neardup, "op8_bpe": bpe.op8_bpe}
 ORACLE: dict[str, str] = {}
