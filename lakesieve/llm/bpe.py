@@ -154,7 +154,7 @@ def encode_texts(df: DataFrame, path: str | None = None, text: str = "text", out
         ids = [np.frombuffer(pieces.ids(t), "<u2").astype(np.int32) for t in shared.texts_of(batch, text).to_pylist()]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, out])
 
-    return shared.map_arrow(df, add, StructType(df.schema.fields).add(out, ArrayType(IntegerType())))
+    return shared.map_arrow(df, add, StructType([*df.schema.fields]).add(out, ArrayType(IntegerType())))
 
 
 OP8_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

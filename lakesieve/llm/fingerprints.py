@@ -96,7 +96,7 @@ def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint") ->
 
     from pyspark.sql.types import StringType, StructType
 
-    return shared.map_arrow(df, add, StructType(df.schema.fields).add(out, StringType()))
+    return shared.map_arrow(df, add, StructType([*df.schema.fields]).add(out, StringType()))
 
 
 def with_successor(docs: DataFrame) -> DataFrame:

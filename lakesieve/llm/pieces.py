@@ -45,7 +45,11 @@ class Pieces(dict):
 
 
 def library_pieces(path: str) -> Pieces:
-    """Pieces encoded by the tokenizers library, one for each Python worker and file."""
+    """Pieces encoded by the tokenizers library, one for each Python worker and file.
+
+    A piece that holds an added token goes to the whole tokenizer; any other to the library's pre-tokenizer and BPE
+    model, which give the same ids without building offsets. A plain ASCII word is one pre-token as it stands.
+    """
     held = _libraries.get(path)
     if held is None:
         import numpy as np
@@ -56,8 +60,19 @@ def library_pieces(path: str) -> Pieces:
         tokenizer.no_padding()
         if tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit in 16 bits")
-        encode = tokenizer.encode
-        held = _libraries[path] = Pieces(lambda s: np.array(encode(s, add_special_tokens=False).ids, "<u2").tobytes())
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        pre_tokens, merged = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
+
+        def encode(s: str) -> bytes:
+            if s.isascii() and s[0] == " " and s[1:].isalpha():
+                ids = [t.id for t in merged("\u0120" + s[1:])]  # the letter that stands for a space
+            elif any(a in s for a in added):
+                ids = tokenizer.encode(s, add_special_tokens=False).ids
+            else:
+                ids = [t.id for w, _ in pre_tokens(s) for t in merged(w)]
+            return np.array(ids, "<u2").tobytes()
+
+        held = _libraries[path] = Pieces(encode)
     return held
 
 
