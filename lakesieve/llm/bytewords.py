@@ -16,6 +16,9 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 _PLACE = _RANDOM.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Bytes outside letters, digits and UTF-8 sequences: what ends a word where punctuation counts as blank.
+IS_MARK = np.ones(256, bool)
+IS_MARK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
@@ -54,10 +57,10 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of some texts: hashes, the text each is in, and how many each text has."""
 
-    def __init__(self, texts: pa.Array, lower: bool = True):
+    def __init__(self, texts: pa.Array, lower: bool = True, blank: np.ndarray = IS_SPACE):
         data, at = buffers(texts)
         n = len(data)
-        inside = ~IS_SPACE[data]
+        inside = ~blank[data]
         fresh = inside.copy()
         fresh[1:] &= ~inside[:-1]
         heads = at[:-1][at[:-1] < n]
@@ -70,11 +73,17 @@ class Words:
         value = _BYTE[LOWER[data] if lower else data] * powers(n, _BASE, "base")
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(value, out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * powers(n, _BASE_INV, "inverse")[self.start])
+        self._total, self._inverse = total, powers(n, _BASE_INV, "inverse")[self.start]
+        self.hash = mix((total[self.end] - total[self.start]) * self._inverse)
         self.count = np.diff(np.searchsorted(self.start, at))
         self.text = np.repeat(np.arange(len(texts)), self.count)
         self.data, self.at = data, at
 
+    def prefixes(self, n_bytes: int) -> np.ndarray:
+        """Hashes of the first n_bytes of each word, or of all of a shorter one; other lengths give other hashes."""
+        end = np.minimum(self.end, self.start + n_bytes)
+        return mix((self._total[end] - self._total[self.start]) * self._inverse + _PLACE[n_bytes])
+
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all k-word windows and the text of each; a text of 1 to k-1 words has one, of all its words."""
         h, doc, n = self.hash, self.text, len(self.hash)
