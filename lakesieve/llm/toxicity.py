@@ -27,7 +27,7 @@ from . import shared
 from .bytewords import IS_MARK, Words
 
 BUCKETS, DIMENSIONS, FILTERS, WIDTHS, PREFIXES = 1 << 22, 8, 12, (1, 2, 3), (4, 5, 6, 7)
-SAMPLE_ROWS, EPOCHS, STEPS, BATCH, RATE, MIN_TEXTS = 8_000, 8, 600, 64, 0.01, 3
+SAMPLE_ROWS, EPOCHS, STEPS, BATCH, RATE, MIN_TEXTS = 8_000, 8, 400, 64, 0.01, 3
 
 
 def buckets(texts: pa.Array) -> list[np.ndarray]:
