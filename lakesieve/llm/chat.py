@@ -24,7 +24,7 @@ BLOCK = 64
 def rotated(conversations: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text) -> conv_id, speaker, position, turn, rendered, starts_at, ends_at, mask_from, mask_to."""
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    speakers = rows.where("role != 'system'").groupBy(F.col("conv_id").alias("of"), F.col("role").alias("speaker")).agg()
+    speakers = rows.where("role != 'system'").select(F.col("conv_id").alias("of"), F.col("role").alias("speaker")).distinct()
     both = rows.join(speakers, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
     own = F.col("role") == F.col("speaker")
     head = F.when(own, "<|assistant|>\n").when(F.col("role") == "system", "<|system|>\n").otherwise(F.concat(F.lit("<|user|>\n"), "role", F.lit(": ")))
