@@ -29,16 +29,20 @@ STATISTICS = ("symbol_share", "dup_line_share", "repeat_share", "upper_share", "
 
 
 def statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """df's doc_id with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the shares that rules may use."""
+    """df's doc_id with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the shares that rules may use.
+
+    A struct column named _row, if there is one, is carried along.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
-    a = df.select("doc_id", t.alias("t"), F.filter(F.split(t, BLANK), lambda w: w != "").alias("w"))
+    own = ["doc_id"] + ["_row"] * ("_row" in df.columns)
+    a = df.select(*own, t.alias("t"), F.filter(F.split(t, BLANK), lambda w: w != "").alias("w"))
     # w, h and s are each used more than once below, so that they stay columns of their own and are computed once
-    b = a.select("doc_id", "t", "w", F.size("w").alias("n"), F.when(F.size("w") >= 3, F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))).otherwise(F.array().cast("array<bigint>")).alias("h"))
+    b = a.select(*own, "t", "w", F.size("w").alias("n"), F.when(F.size("w") >= 3, F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))).otherwise(F.array().cast("array<bigint>")).alias("h"))
     c = b.withColumn("s", F.when(F.size(F.array_distinct("h")) == F.size("h"), F.expr("array()").cast("array<struct<h:bigint,i:int>>")).otherwise(F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
     d = c.withColumn("p", F.sort_array(F.transform(F.filter("s", lambda x, i: (F.get("s", i - 1)["h"] == x["h"]) | (F.get("s", i + 1)["h"] == x["h"])), lambda x: x["i"])))
     lines = F.filter(F.split("t", "\n"), lambda x: F.rtrim(F.translate(x, "\t\n\x0b\x0c\r", "     ")) != "")
     e = d.select(
-        "doc_id",
+        *own,
         F.col("n").cast("long").alias("n_words"),
         F.length(F.translate("t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
@@ -64,7 +68,7 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
         "line_words": F.col("n_words") / F.greatest("n_lines", F.lit(1)),
         "lone_symbol_share": F.col("n_lone") / words,
     }
-    return e.withColumns(shares).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *shares)
+    return e.withColumns(shares).select(*own, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *shares)
 
 
 def base_failed() -> Column:
@@ -173,13 +177,16 @@ def learn(x: dict[str, np.ndarray], poor: np.ndarray, third: np.ndarray) -> list
     return rules
 
 
-def learned_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The decision list from at most sample_rows labelled rows, the smallest hashes of their ids."""
+def learned_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, after_base: bool = True) -> list[Rule]:
+    """The decision list from at most sample_rows labelled rows, the smallest hashes of their ids.
+
+    after_base: learn only from those that pass the base rule, for use behind it.
+    """
     rows = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality").withColumn("order", F.xxhash64("doc_id", F.lit(7))).orderBy("order", "doc_id", "quality").limit(sample_rows)
     sample = docs.sparkSession.createDataFrame([tuple(r) for r in rows.collect()] or [(-1, 1, 0)], "id long, quality int, order long").coalesce(1)
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("id"), "left_semi")
     joined = statistics(chosen).join(F.broadcast(sample), F.col("doc_id") == F.col("id"))
-    got = [r for r in joined.select("quality", "order", base_failed().alias("failed"), *STATISTICS).collect() if not r["failed"]]
+    got = [r for r in joined.select("quality", "order", base_failed().alias("failed"), *STATISTICS).collect() if not (after_base and r["failed"])]
     if not got:
         return []
     got.sort(key=lambda r: (r["order"], *(r[name] for name in STATISTICS)))
@@ -198,6 +205,12 @@ def judged(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     return statistics(docs).withColumn("base_failed", base_failed()).withColumn("kept", kept)
 
 
+def kept_documents(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rows of docs, all columns, that the decision list keeps; the base rule takes no part."""
+    rows = statistics(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")))
+    return rows.where(F.when(F.monotonically_increasing_id() >= 0, verdict(rules))).select("_row.*")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.documents(spark, sf_dir)
     rules = learned_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))

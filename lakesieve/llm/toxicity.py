@@ -229,13 +229,13 @@ def scored(docs: DataFrame, net: ConvNet, text: str = "text", out: str = "score"
     return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(out, DoubleType()))
 
 
-def toxic(net: ConvNet, lang: str | None = "lang"):
+def toxic(net: ConvNet, lang: str | None = "lang", score: str = "score"):
     """The verdict on a scored row: its language's threshold, else the common one."""
     limit = F.lit(net.thresholds.get("", 0.3))
     for name, t in net.thresholds.items():
         if lang and name:
             limit = F.when(F.col(lang) == name, F.lit(t)).otherwise(limit)
-    return F.col("score") >= limit
+    return F.col(score) >= limit
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
