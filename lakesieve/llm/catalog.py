@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, fingerprints, neardup, packing, quality, secrets, tokenfiles, toxicity
+from . import bpe, chat, contextmix, fingerprints, neardup, packing, quality, secrets, tokenfiles, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
+    "op2_contextmix": contextmix.op2_contextmix,
     "op3_neardup": neardup.op3_neardup,
     "op4_quality": quality.op4_quality,
     "op5_perspectives": chat.op5_perspectives,

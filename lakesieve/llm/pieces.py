@@ -12,8 +12,8 @@ import re
 from collections.abc import Callable
 
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-#: Pieces that a Python worker remembers at most: about 200 MB. Beyond it pieces are encoded each time they occur.
-REMEMBERED = 800_000
+#: Pieces that a Python worker remembers at most: about 100 MB. Beyond it pieces are encoded each time they occur.
+REMEMBERED = 500_000
 
 
 def cut(text: str) -> list[str]:
