@@ -1,9 +1,9 @@
 """Connected components of an edge table by hooking to the smallest neighbour and contracting.
 
-Every round maps each node with edges to the smallest id among itself and its neighbours, shortens the chains
-that this makes, and relabels the edges; nothing leaves the executors but one row count a round. A star, which
-is what near-copies of one text make, is gone after one round. Hot nodes only ever meet unique rows in joins,
-so that adaptive execution may split them, and sums are taken before shuffling.
+Every round maps each node with edges to the smallest id among itself and its neighbours, follows that map once more, and
+relabels the edges by it; nothing leaves the executors but whether edges are left. A star, which is what near-copies of one
+text make, is gone after one round, and chains shrink by a constant factor a round. Hot nodes only ever meet unique rows in
+joins, so that adaptive execution may split them, and minima are taken before shuffling.
 """
 
 from __future__ import annotations
@@ -14,28 +14,25 @@ from pyspark.sql import functions as F
 from .shared import stored
 
 
-def _through(edges: DataFrame, parent: DataFrame, col: str) -> DataFrame:
-    return edges.join(parent.withColumnRenamed("node", col), col, "left").withColumn(col, F.coalesce("to", col)).drop("to")
+def _through(rows: DataFrame, parent: DataFrame, col: str) -> DataFrame:
+    return rows.join(parent.select(F.col("node").alias(col), "to"), col, "left").withColumn(col, F.coalesce("to", col)).drop("to")
+
+
+def _tidy(edges: DataFrame) -> DataFrame:
+    return stored(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(a long, b long) edges -> (node long, component long) for every node with an edge to another; the smallest id names it."""
-    edges = stored(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    labels = None
-    while True:
-        if edges.isEmpty():
-            return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        both = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).union(edges.select(F.col("b").alias("node"), F.col("a").alias("to")))
-        parent = both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("to"))
-        parent = stored(parent, "parent")
-        for _ in range(2):  # chains of descending ids get a quarter of their length
-            up = parent.select(F.col("node").alias("to"), F.col("to").alias("above"))
-            parent = parent.join(up, "to", "left").select("node", F.coalesce("above", "to").alias("to"))
-        parent = stored(parent, "parent")
-        edges = stored(_through(_through(edges, parent, "a"), parent, "b").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-        if labels is None:
-            labels = parent.select("node", F.col("to").alias("component"))
-        else:
-            up = parent.select(F.col("node").alias("component"), F.col("to").alias("above"))
-            labels = labels.join(up, "component", "left").select("node", F.coalesce("above", "component").alias("component"))
-        labels = stored(labels, "labels")
+    edges, maps = _tidy(edges), []
+    while not edges.isEmpty():
+        both = edges.union(edges.select("b", "a")).toDF("node", "to")
+        near = both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("to"))
+        maps.append(stored(_through(near.withColumnRenamed("to", "up"), near, "up").select("node", F.col("up").alias("to")), "parents"))
+        edges = _tidy(_through(_through(edges, maps[-1], "a"), maps[-1], "b"))
+    if not maps:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    labels = maps[0].withColumnRenamed("to", "component")
+    for parent in maps[1:]:
+        labels = _through(labels, parent, "component")
+    return labels.select("node", "component")

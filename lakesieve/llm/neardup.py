@@ -1,20 +1,22 @@
 """op3: MinHash near-duplicates with tensored banding, every link verified on the full shingle sets.
 
-Instead of independent minhashes for each table, a text gets a small collection of `bundles` (two minhashes
-each); a table's key combines two bundles, so 14 bundles of 2 hashes serve 91 tables of 4 hashes each: 28
-minhashes where independent tables would take 364. Two sets of Jaccard similarity s share a key if two bundles
-or more agree: at s = 0.8 this fails for 1.6e-5 of pairs, at 0.9 for 5e-10.
-
-Equal sets are collapsed to one class first. Within each key the class with the smallest id is compared to all
-others of that key (a star, not all pairs). What this leaves open, namely classes of one key that then lie in
-different components, is compared pair by pair, apart from pairs that the triangle inequality of the Jaccard
-distance excludes. Candidates whose minhashes agree in fewer than 12 of 28 places are left out (at s = 0.8 that
-drops 1e-6 of the pairs); all others are confirmed on the whole sets. No count of partners, bucket size or text length
-is capped.
-
-Rows: a null or empty text, or one without words, has an empty set and is linked with nothing. A text with
-fewer words than a shingle has one shingle, all its words. Rows with equal doc_id count as one document. A
-null doc_id is linked with nothing: its component is null and it is kept. Other columns are ignored.
+Instead of independent minhashes for each table, a text gets a small collection of BUNDLES bundles of three minhashes
+each; a table's key combines two bundles, so that 54 minhashes serve 153 tables of six minhashes each, where independent
+tables would take 918. Two sets of Jaccard similarity s share a key if two bundles or more agree: at s = 0.8 this fails
+for 5e-5 of the pairs, at 0.85 for 1e-6, at 0.9 for 1e-9.
+
+Equal sets are collapsed to one class first. Within each key all classes are compared to a head (a star, not all pairs): the
+class that shares most keys with others, which in a group of edited copies is the one nearest to their origin. That leaves
+open the classes that share a key and still lie in different components. Those are compared among each other through a
+prefix and positional filter, which loses no link: under any one order of shingles, two sets of n and m shingles that share t or more
+have their first common shingle at places i and j with 1 + min(n - i, m - j) >= t. The order puts shingles that are rare in
+the corpus first, so passages that many documents share bring no pairs. Candidates whose minhashes agree in fewer than
+LEAST_AGREE of 54 places are left out (at s = 0.8 that drops 1e-7 of the pairs); all others are confirmed on the whole
+sets. No count of partners, bucket size or text length is capped.
+
+Rows: a null or empty text, or one without words, has an empty set and is linked with nothing. A text with fewer words
+than a shingle has one shingle, all its words. Rows with equal doc_id count as one document. A null doc_id is linked with
+nothing: its component is null and it is kept. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,10 +30,11 @@ from . import shared
 from .bytewords import Words, mix, split_by_text
 from .components import components
 
-#: HASHES is two in table_keys().
-BUNDLES, HASHES = 14, 2
+BUNDLES, HASHES = 18, 3
 #: Of BUNDLES * HASHES minhashes, so many must agree before two texts are compared.
-LEAST_AGREE = 12
+LEAST_AGREE = 27
+#: Counters of shingle frequency, shared by the shingles of equal hash modulo their number; they only set an order.
+COUNTERS = 1 << 16
 _RANDOM = np.random.default_rng(97)
 _MULTIPLY = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -83,7 +86,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 def table_keys(classes: DataFrame) -> DataFrame:
     """(doc_id, minhash) -> (doc_id, key) for each of the BUNDLES * (BUNDLES - 1) / 2 tables."""
-    bundle = ", ".join(f"xxhash64({i}, minhash[{2 * i}], minhash[{2 * i + 1}])" for i in range(BUNDLES))
+    bundle = ", ".join(f"xxhash64({i}, {', '.join(f'minhash[{i * HASHES + j}]' for j in range(HASHES))})" for i in range(BUNDLES))
     first = [i for i in range(BUNDLES) for j in range(i + 1, BUNDLES)]
     second = [j for i in range(BUNDLES) for j in range(i + 1, BUNDLES)]
     pairs = ", ".join(f"xxhash64(b[{i}], b[{j}])" for i, j in zip(first, second, strict=True))
@@ -112,6 +115,49 @@ def measured(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return shared.map_arrow(texts, compare, "a long, b long, both long, union long")
 
 
+def shingle_counts(docs: DataFrame, k: int) -> np.ndarray:
+    """How often shingles occur, by hash modulo COUNTERS: sums of each task's counters, COUNTERS numbers on the driver."""
+
+    def count(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            texts = shared.texts_of(batch)
+            sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)).tolist() if len(texts) else []
+            for a, b in shared.slices(sizes):
+                total += np.bincount((Words(texts.slice(a, b - a)).shingles(k)[0] % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "n"])
+
+    out = np.zeros(COUNTERS, np.int64)
+    for r in docs.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        out[r["slot"]] = r["n"]
+    return out
+
+
+def prefix_pairs(docs: DataFrame, rest: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b) of different components in rest (doc_id, component) whose prefixes share a shingle at places that allow a link."""
+    counts = shingle_counts(docs, k)
+
+    def prefix(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = shingle_sets(shared.texts_of(batch), k)
+        heads = [s[np.lexsort((s, counts[(s % np.uint64(COUNTERS)).astype(np.int64)]))[: len(s) - -(-percent * len(s) // 100) + 1]].view(np.int64) for s in sets]
+        at = np.cumsum([0, *map(len, heads)]).astype(np.int32)
+        flat = np.concatenate([*heads, np.zeros(0, np.int64)])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["doc_id", "n", "prefix"])
+
+    heads = shared.map_arrow(docs.select("doc_id", "text"), prefix, "doc_id long, n long, prefix array<long>")
+    rows = shared.stored(heads.join(rest, "doc_id").select("doc_id", "component", "n", F.posexplode("prefix").alias("i", "shingle")), "prefixes")
+    by_component = rows.groupBy("shingle", "component").agg(F.count("*").alias("m"))
+    mixed = by_component.groupBy("shingle").agg(F.max_by("component", F.struct("m", "component")).alias("largest"), F.count("*").alias("c")).where("c > 1").select("shingle", "largest")
+    some = rows.join(mixed, "shingle")
+    # rows of a shingle's largest component are met by those of its others only, never by each other
+    few = some.where("component != largest").select("shingle", F.col("doc_id").alias("x"), F.col("component").alias("of_x"), F.col("n").alias("nx"), F.col("i").alias("ix"))
+    many = some.select("shingle", F.col("doc_id").alias("y"), F.col("component").alias("of_y"), F.col("n").alias("ny"), F.col("i").alias("iy"))
+    # both >= percent/100 * union is (100 + percent) * both >= percent * (nx + ny); places count from 0 here
+    fits = (F.col("of_x") != F.col("of_y")) & ((100 + percent) * F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) >= percent * (F.col("nx") + F.col("ny")))
+    return few.join(many, "shingle").where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, text) -> doc_id, n_shingles, class_id, component_id, kept for each row.
 
@@ -125,26 +171,17 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     marks = classes.groupBy("doc_id").agg(F.min("minhash").alias("minhash"))
 
     keys = table_keys(classes)
-    shared_keys = keys.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head != last").select("key", "head")
-    tables = shared.stored(keys.join(shared_keys, "key"), "tables")
-
-    star = tables.where("doc_id != head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
-    first = shared.stored(measured(plausible(star, marks), docs, shingle_words), "first")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    tables = shared.stored(keys.join(sizes, "key"), "tables")
+    central = tables.groupBy("doc_id").agg(F.sum("n").alias("degree"))
+    heads = tables.join(central, "doc_id").groupBy("key").agg(F.max_by("doc_id", F.struct("degree", -F.col("doc_id"))).alias("head"))
+    star = tables.join(heads, "key").where("doc_id != head").select(F.least("head", "doc_id").alias("a"), F.greatest("head", "doc_id").alias("b")).distinct()
     linked = f"100 * both >= {percent} * union"
-    edges = first.where(linked).select("a", "b")
-    found = components(edges)
-
-    # the rest of each key: classes in different components
-    placed = tables.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("doc_id").alias("top"), F.min(F.when(F.col("doc_id") != F.col("head"), F.col("doc_id"))).alias("second")).where("low != high and top != second")
-    seen = first.select(F.col("a").alias("head"), F.col("b").alias("doc_id"), (F.col("both") / F.col("union")).alias("j"))
-    rest = placed.where("doc_id != head").join(split.select("key"), "key", "left_semi").join(seen, ["head", "doc_id"], "left").select("key", "doc_id", "component", F.coalesce("j", F.lit(0.0)).alias("j"))
-    rest = shared.stored(rest, "rest")
-    # d(a, b) >= d(head, b) - d(head, a): a linked to the head and a b below 2s - 1 cannot be linked to each other
-    s = percent / 100
-    other = rest.select("key", F.col("doc_id").alias("b"), F.col("component").alias("of_b"), F.col("j").alias("jb"))
-    open_pairs = rest.join(other, (rest.key == other.key) & (rest.doc_id < other.b) & (rest.component != F.col("of_b")) & ~((F.greatest("j", "jb") >= s) & (F.least("j", "jb") < 2 * s - 1 - 1e-9)))
-    open_pairs = open_pairs.select(F.col("doc_id").alias("a"), "b").distinct()
+    edges = shared.stored(measured(plausible(star, marks), docs, shingle_words).where(linked).select("a", "b"), "star")
+    placed = tables.select("key", "doc_id").join(components(edges).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low != high and n > 2")
+    open_rows = placed.join(mixed.select("key"), "key", "left_semi").select("doc_id", "component").distinct()
+    open_pairs = prefix_pairs(docs, shared.stored(open_rows, "open"), shingle_words, percent)
     second = shared.stored(measured(plausible(open_pairs, marks), docs, shingle_words), "second").where(linked).select("a", "b")
     found = components(edges.union(second))
 
@@ -154,5 +191,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def without_near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, of one document of each component; of rows equal in id and text one stays."""
+    kept = near_duplicates(docs, shingle_words, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(shared.documents(spark, sf_dir), shingle_words=2).drop("class_id")
