@@ -76,13 +76,13 @@ def derived(seeds: DataFrame, families: DataFrame) -> DataFrame:
     def values(family: pd.Series, seed: pd.Series, slots: pd.Series) -> pd.DataFrame:
         out = []
         for f, s, spec in zip(family, seed, slots, strict=True):
-            specs = [dict(x) for x in spec]
-            got = slot_values([x | {"of": list(x["of"]) if x["of"] is not None else None} for x in specs], f"{f}/{s}")
-            sep = {x["name"]: x["sep"] if x["sep"] is not None else " " for x in specs}
+            specs = json.loads(spec)
+            got = slot_values(specs, f"{f}/{s}")
+            sep = {x["name"]: x.get("sep", " ") for x in specs}
             out.append((canonical(got), {k: sep[k].join(map(str, v)) if isinstance(v, list) else str(v) for k, v in got.items()}))
         return pd.DataFrame(out, columns=["slots_json", "shown"])
 
-    rows = seeds.join(F.broadcast(families), "family").withColumn("seed", F.concat_ws(":", "family", "n")).withColumn("v", values("family", "seed", "slots"))
+    rows = seeds.join(F.broadcast(families), "family").withColumn("seed", F.concat_ws(":", "family", "n")).withColumn("v", values("family", "seed", F.to_json("slots")))
     return rows.select("family", "n", "seed", F.col("v.slots_json").alias("slots_json"), F.sha2("v.slots_json", 256).alias("slot_sha256"), T.rendered("prompt", "v.shown").alias("prompt"))
 
 
