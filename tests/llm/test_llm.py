@@ -1,0 +1,381 @@
+"""Operators against brute force, exact round trips and held-out rows; and on nulls, empty tables, ties and clashing columns."""
+
+import base64
+import collections
+import gzip
+import hashlib
+import json
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from lakesieve.llm import bpe, chat, contextmix, fingerprints, neardup, packing, pieces, quality, secrets, tokenfiles, toxicity
+from lakesieve.llm.bytewords import Words
+from lakesieve.llm.components import components
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+random.seed(4)
+VOCABULARY = ["".join(random.choices("abcdefghij", k=random.randint(1, 8))) for _ in range(400)]
+
+
+def prose(n, seed):
+    r = random.Random(seed)
+    return " ".join(r.choices(VOCABULARY, k=n))
+
+
+def frame(spark, texts, ids=None):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in zip(ids or range(len(texts)), texts, strict=True)], DOCS)
+
+
+def edited(text, share, seed):
+    r, w = random.Random(seed), text.split(" ")
+    for i in r.sample(range(len(w)), int(len(w) * share)):
+        w[i] = f"new{r.randint(0, 10**9)}"
+    return " ".join(w)
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    base = [prose(120, i) for i in range(25)]
+    near = [edited(base[i % 5], 0.01 + 0.03 * (i % 7), 100 + i) for i in range(40)]
+    return [*base, *near, base[0], base[0], base[3].upper(), "one", "one", "two words", "", None, " \n\t ", "A  b\nc"]
+
+
+@pytest.fixture(scope="module")
+def tables(spark, corpus, tmp_path_factory):
+    d = tmp_path_factory.mktemp("sf")
+    frame(spark, corpus).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, int(i % 5 == 0)) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    return str(d)
+
+
+ODD = [(None, None, None, None, None), (None, "x y z", None, None, None), (7, None, "en", None, 0), (7, "", "en", "s", 0), (8, "same same", "xx", "s", 9), (8, "same same", "xx", "s", 9), (9, "w " * 60000, "en", "s", 1)]
+
+
+def test_word_hashes_do_not_depend_on_place():
+    texts = ["Ab c", "x ab\tC", "", "é ab é"]
+    w = Words(pa.array(texts, pa.large_string()))
+    names = [x.translate(LOW) for t in texts for x in WORD.findall(t)]
+    assert w.count.tolist() == [2, 3, 0, 3]
+    same = {n: h for n, h in zip(names, w.hash.tolist(), strict=True)}
+    assert [same[n] for n in names] == w.hash.tolist() and len(set(same.values())) == len(same)
+
+
+def test_components(spark):
+    r = random.Random(1)
+    edges = [(r.randint(0, 60), r.randint(0, 60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)]
+    up = {}
+
+    def root(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: root(x) for a, b in edges if a != b for x in (a, b)}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_op1(spark, tables, corpus):
+    rows = {r["doc_id"]: r for r in fingerprints.op1_fingerprints(spark, tables).collect()}
+    assert len(rows) == len(corpus)
+    order = sorted(rows, reverse=True)
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [WORD.findall((t or "").translate(LOW))] for i in range(max(1, len(w) - 4)) if w}
+    off = []
+    for a, b in zip(order, order[1:] + order[:1], strict=True):
+        t, u = corpus[a] or "", corpus[b] or ""
+        e = t[: len(t) - len(t) // 2] + u[: len(t) // 2]
+        assert (rows[a]["n_chars"], rows[a]["edited_sha256"]) == (len(t), hashlib.sha256(e.encode()).hexdigest())
+        x, y = shingles(t), shingles(e)
+        off.append(abs(rows[a]["near_edited"] - (len(x & y) / len(x | y) if x | y else 1)))
+    assert max(off) < 0.25 and np.mean(off) < 0.06
+    assert rows[0]["fingerprint"] == rows[65]["fingerprint"]
+
+
+def test_op1_merge_and_containment():
+    a, b = (fingerprints.sketches(pa.array([t], pa.large_string()))[0] for t in (prose(3000, 1), prose(3000, 1) + " " + prose(30000, 2)))
+    assert fingerprints.containment(a, b) > 0.95 and fingerprints.likeness(a, b) < 0.2
+    assert fingerprints.decode(fingerprints.encode(*a))[1].tolist() == a[1].tolist()
+    assert fingerprints.likeness(fingerprints.merge(a, b), b) > 0.95
+
+
+def brute_links(texts, k, percent=80):
+    sets = []
+    for t in texts:
+        w = WORD.findall((t or "").translate(LOW))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
+    up = list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(texts))], [len(s) for s in sets]
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_op3(spark, corpus, k):
+    want, sizes = brute_links(corpus, k)
+    got = {r["doc_id"]: r for r in neardup.near_duplicates(frame(spark, corpus), k).collect()}
+    assert [got[i]["component_id"] for i in range(len(corpus))] == want
+    assert [got[i]["n_shingles"] for i in range(len(corpus))] == sizes
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got.values())
+
+
+def test_op3_chains_without_a_centre(spark):
+    """Texts that each are near the next only: links between texts that are not near any head must be found too."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[i * 6 : i * 6 + 160]) for i in range(30)]
+    want, _ = brute_links(texts, 2)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame(spark, texts), 2).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_op4(spark, corpus):
+    texts = [*corpus, "a b c a b c a b c", "x # | $ <y>\n\nline\nline\nother"]
+    got = {r["doc_id"]: r for r in quality.judged(frame(spark, texts), []).collect()}
+    for i, t in enumerate(texts):
+        t = t or ""
+        w = WORD.findall(t)
+        tri = list(zip(w, w[1:], w[2:], strict=False))
+        c = collections.Counter(tri)
+        repeated = {j + d for j, x in enumerate(tri) if c[x] > 1 for d in range(3)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        r = got[i]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t), len(lines) - len(set(lines)), len(repeated)), t[:40]
+        failed = len(w) < 50 or 100 * len(repeated) > 50 * len(w)
+        assert r["base_failed"] == failed and r["kept"] == (not failed)
+
+
+def test_op4_learns_conjunctions(spark):
+    rng = np.random.default_rng(1)
+    x = {name: rng.random(3000) for name in quality.STATISTICS}
+    poor = ((x["symbol_share"] > 0.7) & (x["repeat_share"] > 0.5)) | (x["upper_share"] > 0.9)
+    rules = quality.learn(x, poor, np.arange(3000) % 3 == 2)
+    y = {name: rng.random(3000) for name in quality.STATISTICS}
+    said = np.logical_or.reduce([r.rows(y) for r in rules])
+    truth = ((y["symbol_share"] > 0.7) & (y["repeat_share"] > 0.5)) | (y["upper_share"] > 0.9)
+    assert (said == truth).mean() > 0.95
+    d = spark.createDataFrame([tuple(float(v[i]) for v in y.values()) for i in range(200)], list(y))
+    assert [r[0] for r in d.select(quality.verdict(rules)).collect()] == (~said[:200]).tolist()
+
+
+def test_op5(spark):
+    r = random.Random(2)
+    turns = [(c, t, r.choice(["ann", "bob", "system", None]), r.choice(["hi", "", None, "longer text"])) for c in (1, 2, None) for t in [*range(150), 3, None]]
+    rows = chat.rotated(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    for conv in (1, 2, None):
+        own = sorted(((t is None, t or 0, role or "unknown", x or "") for c, t, role, x in turns if c == conv))
+        for speaker in {s for _, _, s, _ in own} - {"system"}:
+            got = sorted((x for x in rows if x["conv_id"] == conv and x["speaker"] == speaker), key=lambda x: x["position"])
+            assert [x["position"] for x in got] == list(range(len(own)))
+            text = "".join(x["rendered"] for x in got)
+            for x, (_, _, role, said) in zip(got, own, strict=True):
+                assert text[x["starts_at"] : x["ends_at"]] == x["rendered"]
+                assert (x["mask_from"] is not None) == (role == speaker)
+                if role == speaker:
+                    assert text[x["mask_from"] : x["mask_to"]] == said + "<|end|>" and x["rendered"].startswith("<|assistant|>")
+                elif role != "system":
+                    assert x["rendered"] == f"<|user|>\n{role}: {said}<|end|>\n"
+
+
+def test_op6_layers():
+    secret = "password = 'hunter2hunter2xx'"
+    one = base64.b64encode(secret.encode()).decode()
+    packed = base64.b64encode(gzip.compress(one.encode())).decode()
+    url = "".join(f"%{b:02X}" for b in packed.encode())
+    for text, span in [(f"see {one} end", (4, 4 + len(one))), (f"see {packed} end", (4, 4 + len(packed))), (f"a {url} z", (2, 2 + len(url))), ("".join(f"\\u{ord(c):04x}" for c in secret), None), ("%2541KIA" + "B" * 16, None)]:
+        base, added = secrets.scan(text)
+        assert not [s for s in base if s[2] != "hex"] and added
+        if span:
+            assert span[0] <= added[0][0] and added[0][1] <= span[1]
+        assert "[SECRET]" in secrets.masked(text)
+
+
+def test_op6_base_is_leftmost_and_drops_failing_matches():
+    assert secrets.written(secrets.base_hits("password: secret : abcdefghijklmn")) == ""
+    assert secrets.written(secrets.base_hits("token: password=abcdefghijklmn")) == "assign:0:30"
+    assert secrets.written(secrets.base_hits("API_KEY=0123456789abcdef0 AKIA" + "Z" * 14)) == "assign:0:25,hex:8:25,access:26:44"
+    assert secrets.masked("clean text 100% fine &#x2603; \\u0041") == "clean text 100% fine &#x2603; \\u0041"
+
+
+def test_op7_learns_and_generalizes(spark):
+    bad = ["zurk", "blegh", "mofo"]
+    texts = [prose(60, i) + (" " + bad[i % 3] + " " + prose(20, i + 5000) if i % 4 == 0 else "") for i in range(600)]
+    docs = frame(spark, texts)
+    labels = docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
+    net = toxicity.fit(docs, labels)
+    rows = toxicity.scored(docs, net).select("doc_id", "score").collect()
+    held = [(r["score"] >= 0.3, r["doc_id"] % 4 == 0) for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
+    assert len(held) > 100 and np.mean([a == b for a, b in held]) > 0.95
+    assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_op7_labels_of_one_class(spark):
+    docs = frame(spark, ["a b", "c"])
+    net = toxicity.fit(docs, spark.createDataFrame([(0, 0), (1, 0)], "doc_id long, toxic int"))
+    assert {round(r["score"], 2) for r in toxicity.scored(docs, net).collect()} == {0.0}
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(pieces.default_vocabulary())
+
+
+def test_byte_letters_match_the_vocabulary():
+    vocabulary = json.load(open(pieces.default_vocabulary(), encoding="utf-8"))["model"]["vocab"]
+    assert all(c in vocabulary for c in pieces.byte_letters())
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.sampled_from(list(" \n\t'.,#ab zé日  sS1t")), st.characters(codec="utf-8")), max_size=60))
+def test_op8_matches_the_library(text):
+    from tokenizers import Tokenizer
+
+    own = test_op8_matches_the_library.__dict__.setdefault("t", Tokenizer.from_file(pieces.default_vocabulary()))
+    want = own.encode(text, add_special_tokens=False).ids
+    encoder, remembered, _ = bpe.encoder(pieces.default_vocabulary())
+    assert np.frombuffer(remembered.ids(text), "<u2").tolist() == want
+    assert np.frombuffer(pieces.library_pieces(pieces.default_vocabulary()).ids(text), "<u2").tolist() == want
+    assert encoder.decode(want) == own.decode(want, skip_special_tokens=False)
+
+
+def test_op8_added_tokens_and_long_words(library):
+    encoder, _, _ = bpe.encoder(pieces.default_vocabulary())
+    for t in ["x<|endoftext|> y", "<|endoftext|>", "ab" * 3000, "a" * 5000]:
+        assert encoder.encode(t) == library.encode(t, add_special_tokens=False).ids
+
+
+def test_op8_query(spark, tables, corpus, library):
+    for r in bpe.op8_bpe(spark, tables).collect():
+        ids = library.encode(corpus[r["doc_id"]] or "", add_special_tokens=False).ids
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("n", [1, 15, 17, 1000, 40000, 300000])
+def test_op9_coder_round_trip(n):
+    ids = np.minimum(np.random.default_rng(n).zipf(1.3, n), 50000).astype(np.uint16)
+    coder = tokenfiles.Coder(tokenfiles.scaled(np.bincount(ids, minlength=tokenfiles.SYMBOLS)))
+    assert (coder.decode(n, *coder.encode(ids)) == ids).all()
+
+
+def test_op9_query(spark, tables, corpus, library):
+    at = 0
+    rows = {r["doc_id"]: r for r in tokenfiles.op9_tokenfiles(spark, tables).collect()}
+    for i, t in enumerate(corpus):
+        ids = np.array(library.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
+        assert (rows[i]["start"], rows[i]["n_tokens"], rows[i]["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
+def test_op9_damage_is_seen(spark, corpus):
+    blocks, freq = tokenfiles.write_token_files(frame(spark, corpus))
+    bad = blocks.withColumn("crc32", F.col("crc32") + 1)
+    with pytest.raises(Exception, match="damaged"):
+        tokenfiles.read_token_files(bad, freq).collect()
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(4, 60), st.dictionaries(st.integers(1, 60), st.integers(1, 50), max_size=25))
+def test_op10_plan(capacity, counts):
+    counts = {k: v for k, v in counts.items() if k <= capacity}
+    bins, placed = collections.defaultdict(list), collections.Counter()
+    for r in packing.plan(counts, capacity):
+        assert r.first_rank == placed[r.length]
+        placed[r.length] += r.n
+        for i in range(r.n):
+            bins[r.first_bin + i].append((r.offset, r.length))
+    assert dict(placed) == counts
+    for b in bins.values():
+        at = 0
+        for offset, length in sorted(b):
+            assert offset == at
+            at += length
+        assert at <= capacity and sum(3 * n > capacity for _, n in b) <= 2
+    assert len(bins) <= 1 + 1.5 * sum(k * v for k, v in counts.items()) / capacity + sum(v for k, v in counts.items() if 2 * k > capacity)
+
+
+def test_op10_query(spark, tables, corpus, library):
+    rows = packing.op10_packing(spark, tables).collect()
+    bins = collections.defaultdict(list)
+    for i, t in enumerate(corpus):
+        ids = np.array(library.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
+        at = 0
+        for r in sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["piece"]):
+            assert r["start"] == at and r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+            bins[r["sequence_id"]].append((r["offset"], r["length"]))
+        assert at == len(ids)
+    assert all(sum(n for _, n in b) <= 1024 for b in bins.values())
+    assert packing.cut(2050) == [(0, 2), (2, 1024), (1026, 1024)] and packing.cut(1024) == [(0, 1024)]
+
+
+def test_op2(spark, tables, corpus):
+    rows = {r["doc_id"]: r for r in contextmix.op2_contextmix(spark, tables).collect()}
+    tokens = {i: [*WORD.findall((t or "").translate(LOW)), "\n"] for i, t in enumerate(corpus)}
+    train = [i for i in tokens if zlib.crc32(str(i).encode()) % 10]
+    c = collections.Counter(w for i in train for w in tokens[i])
+    n, v = sum(c.values()), len(c)
+    for i, w in tokens.items():
+        r = rows[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (i not in train, len(w), sum(c[x] > 0 for x in w), n)
+        assert math.isclose(r["base_score"], sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), rel_tol=1e-9)
+        assert r["score"] < 0
+
+
+def test_op2_is_a_distribution():
+    """Probabilities of all one-decision continuations sum to one: both bits of each decision."""
+    mixer = contextmix.Mixer()
+    odds = [np.array([30, -20, 5], np.int8)] * contextmix.CONTEXTS
+    total = sum(2 ** -mixer.run(odds, np.array(bits, np.int8), np.array([0, 3]))[0] for bits in np.ndindex(2, 2, 2))
+    assert abs(total - 1) < 1e-3
+
+
+@pytest.mark.parametrize("rows", [ODD, []], ids=["odd", "empty"])
+def test_odd_and_empty_tables(spark, rows, tmp_path):
+    d = str(tmp_path)
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"score": F.lit("clash"), "key": F.lit(1), "component": F.lit(2), "n": F.lit(3)})
+    docs.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(None, None, None), (7, 0, 1), (7, 0, 1)][: len(rows)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
+    from lakesieve.llm import catalog
+
+    for name, query in catalog.QUERIES.items():
+        got = query(spark, d).collect()
+        if name not in ("op5_perspectives", "op10_packing"):
+            assert len(got) == len(rows), name
+
+
+def test_pipeline_on_odd_rows(spark, tables, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{tables}/documents.parquet").unionByName(spark.createDataFrame(ODD, DOCS)).withColumn("score", F.lit("clash"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, tables)
+        if name != "packing":
+            assert out.columns == docs.columns, name
+        docs = out.cache()
+        docs.count()
+    assert corpus_pipeline.STAGES[2][0] == "neardup"
