@@ -146,10 +146,8 @@ def test_seal_and_packages(spark):
 
 def test_prng_golden():
     slots = [{"name": "tag", "kind": "permutation", "of": ["A", "B", "C", "D"]}, {"name": "nums", "kind": "int_list", "min": 1, "max": 15, "count": 4}]
-    # the fixture's range is 15 values; the drawn list is pinned here only in shape, the permutation by sorted membership
     got = holdout.slot_values(slots, "frostgate/frostgate:0")
-    assert got == holdout.slot_values(slots[::-1], "frostgate/frostgate:0")
-    assert len(got["nums"]) == 4 and all(1 <= x <= 15 for x in got["nums"]) and sorted(got["tag"]) == ["A", "B", "C", "D"]
+    assert got == holdout.slot_values(slots[::-1], "frostgate/frostgate:0") == {"nums": [3, 5, 1, 8], "tag": ["A", "B", "D", "C"]}
 
 
 def test_render_is_single_pass(spark):
