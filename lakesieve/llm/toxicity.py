@@ -27,7 +27,7 @@ from . import shared
 from .bytewords import IS_MARK, Words
 
 BUCKETS, DIMENSIONS, FILTERS, WIDTHS, PREFIXES = 1 << 22, 8, 12, (1, 2, 3), (4, 5, 6, 7)
-SAMPLE_ROWS, EPOCHS, STEPS, BATCH, RATE, MIN_TEXTS = 8_000, 8, 400, 64, 0.01, 3
+SAMPLE_ROWS, EPOCHS, STEPS, BATCH, RATE, MIN_TEXTS = 4_000, 10, 400, 64, 0.01, 3
 
 
 def buckets(texts: pa.Array) -> list[np.ndarray]:
@@ -129,6 +129,7 @@ def train(words: list[np.ndarray], toxic: np.ndarray, lang: list[str], seed: int
         net.out = np.zeros_like(net.out)
         return net
     docs = [net.rows(w) for w in words]
+    words.clear()
     own = np.flatnonzero(~aside)
     state: dict[str, list[np.ndarray]] = {}
     t = 0
@@ -209,7 +210,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> C
     got = sorted(tuple(r) for r in shared.map_arrow(chosen, hashed, "doc_id long, toxic int, lang string, words binary").collect())
     order = np.random.default_rng(5).permutation(len(got))
     got = [got[i] for i in order]
-    return train([np.frombuffer(r[3], np.int32).reshape(-1, 1 + len(PREFIXES)) for r in got], np.array([r[1] > 0 for r in got], bool), [r[2] for r in got])
+    words, marks, langs = [np.frombuffer(r[3], np.int32).reshape(-1, 1 + len(PREFIXES)) for r in got], np.array([r[1] > 0 for r in got], bool), [r[2] for r in got]
+    del got
+    return train(words, marks, langs)
 
 
 def scored(docs: DataFrame, net: ConvNet, text: str = "text", out: str = "score") -> DataFrame:
