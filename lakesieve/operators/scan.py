@@ -91,7 +91,7 @@ def _findings(store: DataFrame, items: DataFrame, k: int, min_overlap: int, unic
     both = hits.join(texts.withColumnRenamed("store_file", "s"), F.col("store_file") == F.col("s"))
     # windows of k or k + 1 words have no inner window: such items are few and are met by containment alone
     brief = own.where(F.col("n_words").isin(k, k + 1)).drop("normalized")
-    alone = texts.crossJoin(F.broadcast(brief)).where(F.expr("contains(normalized, item_text)")) if brief.limit(1).count() and small else None
+    alone = texts.crossJoin(F.broadcast(brief) if small else brief).where(F.expr("contains(normalized, item_text)")) if brief.limit(1).count() else None
     exact = F.expr("contains(normalized, item_text)") & (F.col("n_words") >= k)
     out = both.select("store_file", *item_key, "matched", "first_pos", "evidence", exact.alias("exact"), F.expr("instr(normalized, item_text)").alias("at"))
     if alone is not None:
