@@ -20,21 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import shared
-from .pieces import Pieces, default_vocabulary
+from .pieces import Pieces, byte_letters, default_vocabulary
 
 #: The byte-level pre-token pattern (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _NONE = 1 << 60
 
 
-def byte_letters() -> list[str]:
-    """The letter that byte-level vocabularies write for each byte: printable ones stand for themselves, others follow from 256 on."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in set(printable)]
-    letter = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
-    return [letter[b] for b in range(256)]
-
-
 class SegmentTreeBPE:
     """Encoder and decoder of one tokenizer file."""
 

@@ -9,7 +9,9 @@ ids are the joined bytes of its pieces.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable
+from string import punctuation
 
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Pieces that a Python worker remembers at most: about 100 MB. Beyond it pieces are encoded each time they occur.
@@ -18,7 +20,8 @@ REMEMBERED = 500_000
 
 def cut(text: str) -> list[str]:
     """Pieces of a text: the first as it is; one that starts with a line feed as it is; before any other stands a space."""
-    if " ".join(text.split()) == text.replace("\n", " "):
+    # no character but spaces and line feeds is blank (other blanks are not printable), and no two of those are neighbours
+    if text.replace("\n", "").isprintable() and not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n"):
         return text.replace("\n", " \n").split(" ")
     first, *rest = _SINGLE_SPACE.split(text)
     return [first, *rest]
@@ -44,15 +47,22 @@ class Pieces(dict):
         return head + b"".join(map(self.__getitem__, rest)) if rest else head
 
 
+def byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: printable ones stand for themselves, others follow from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(printable)]
+    letter = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+    return [letter[b] for b in range(256)]
+
+
 def library_pieces(path: str) -> Pieces:
     """Pieces encoded by the tokenizers library, one for each Python worker and file.
 
     A piece that holds an added token goes to the whole tokenizer; any other to the library's pre-tokenizer and BPE
-    model, which give the same ids without building offsets. A plain ASCII word is one pre-token as it stands.
+    model, which give the same ids without building offsets. Plain words need no pre-tokenizer.
     """
     held = _libraries.get(path)
     if held is None:
-        import numpy as np
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -63,14 +73,26 @@ def library_pieces(path: str) -> Pieces:
         added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         pre_tokens, merged = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
 
+        letters = dict(enumerate(byte_letters()))
+
+        def spelled(s: str) -> str:
+            """The vocabulary's letters for the bytes of s."""
+            return s.encode().decode("latin-1").translate(letters)
+
         def encode(s: str) -> bytes:
-            if s.isascii() and s[0] == " " and s[1:].isalpha():
-                ids = [t.id for t in merged("\u0120" + s[1:])]  # the letter that stands for a space
+            word = s.rstrip(punctuation)
+            if word[1:].isalpha() and word[0] == " " and max(word) < "\u0250":
+                # a space and Latin letters are one pre-token, ASCII marks after them another
+                ids = [t.id for t in merged(spelled(word))]
+                if len(word) < len(s) and not any(a in s for a in added):
+                    ids += [t.id for t in merged(s[len(word) :])]
+                elif len(word) < len(s):
+                    ids = tokenizer.encode(s, add_special_tokens=False).ids
             elif any(a in s for a in added):
                 ids = tokenizer.encode(s, add_special_tokens=False).ids
             else:
                 ids = [t.id for w, _ in pre_tokens(s) for t in merged(w)]
-            return np.array(ids, "<u2").tobytes()
+            return array("H", ids).tobytes()
 
         held = _libraries[path] = Pieces(encode)
     return held
