@@ -206,9 +206,9 @@ def judged(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """The rows of docs, all columns, that the decision list keeps; the base rule takes no part."""
+    """The rows of docs, all columns, that the decision list keeps; the base rule takes no part. The verdict is a column, for the reason given at judged."""
     rows = statistics(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")))
-    return rows.where(F.when(F.monotonically_increasing_id() >= 0, verdict(rules))).select("_row.*")
+    return rows.withColumn("_kept", F.when(F.monotonically_increasing_id() >= 0, verdict(rules))).where("_kept").select("_row.*")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
