@@ -353,6 +353,41 @@ def test_op2_is_a_distribution():
     assert abs(total - 1) < 1e-3
 
 
+def test_op2_knows_every_repeated_word(spark):
+    counts = spark.range(140_000).select(F.xxhash64("id").alias("word"), F.when(F.col("id") % 7 == 0, 1).otherwise(F.col("id") % 50 + 2).alias("c"))
+    rows = contextmix.ranked(counts).join(counts, "word").orderBy("rank").collect()
+    assert [r["rank"] for r in rows] == list(range(120_000)) and all(a["c"] >= b["c"] for a, b in zip(rows, rows[1:], strict=False))
+
+
+def test_op2_counts_of_contexts_are_exact(corpus):
+    code = contextmix.Code(np.ones(contextmix.CLASSES, np.int64), 5, 5, np.ones(256, np.int64), 3)
+    columns = ["part", "block", "keys", "zeros", "ones"]
+    count, asked = collections.defaultdict(lambda: [0, 0]), []
+    for block, texts in enumerate((corpus[:40], corpus[40:])):
+        words = Words(pa.array([t or "" for t in texts], pa.large_string()))
+        n = len(texts)
+        ranks = np.unique(words.hash.view(np.int64), return_counts=True)
+        rank = np.where(ranks[1] > 1, np.arange(len(ranks[0])), -1)
+        known = pa.record_batch({"block": np.full(len(rank), block), "kind": np.zeros(len(rank), np.int32), "word": ranks[0], "c": ranks[1], "rank": rank})
+        rows = pa.record_batch({"block": np.full(n, block), "kind": np.full(n, 2, np.int32), "text": pa.array(texts, pa.string()), "train": pa.array([True] * n)})
+        asked += list(contextmix.asked(code)(iter([known, rows])))
+        d = contextmix.Decisions(code, words, rank[np.searchsorted(ranks[0], words.hash.view(np.int64))], n)
+        for keys in d.keys:
+            for k, b in zip(keys.tolist(), d.bit.tolist(), strict=True):
+                count[k][b] += 1
+    table = pa.Table.from_batches(asked).sort_by("part")
+    assert table.column_names == columns and len(set(table["part"].to_pylist())) == 1 << code.part_bits
+    got = {}
+    for batch in contextmix._answered(iter(table.to_batches())):
+        r = batch.to_pylist()[0]
+        odds = np.frombuffer(r["odds"], np.int8).reshape(3, -1)
+        got |= {r["part"] << 32 | k: odds[:, i].tolist() for i, k in enumerate(np.frombuffer(r["keys"], "<u4").tolist())}
+    assert got.keys() == count.keys()
+    pairs = np.array([count[k] for k in got])
+    want = np.stack([contextmix.log_odds(np.maximum(pairs - less, 0)) for less in ([0, 0], [1, 0], [0, 1])], 1)
+    assert (np.array(list(got.values())) == want).all()
+
+
 @pytest.mark.parametrize("rows", [ODD, []], ids=["odd", "empty"])
 def test_odd_and_empty_tables(spark, rows, tmp_path):
     d = str(tmp_path)
