@@ -359,6 +359,32 @@ def test_op2_knows_every_repeated_word(spark):
     assert [r["rank"] for r in rows] == list(range(120_000)) and all(a["c"] >= b["c"] for a, b in zip(rows, rows[1:], strict=False))
 
 
+def test_op2_contexts_see_the_words_before():
+    def keys(text):
+        """Keys of the contexts of the last token's first decision."""
+        words = Words(pa.array([text], pa.large_string()))
+        d = contextmix.Decisions(code, words, np.full(len(words.hash), -1), 1)
+        return [int(k[-int(code.length[code.end])]) for k in d.keys]
+
+    code = contextmix.Code(np.ones(contextmix.CLASSES, np.int64), 5, 5, np.ones(256, np.int64), 3)
+    base = keys("one red fox")
+    assert [a == b for a, b in zip(base, keys("one red box"), strict=True)] == [True, True, True, False, False, True]
+    assert [a == b for a, b in zip(base, keys("one blue fox"), strict=True)] == [True, True, True, True, False, True]
+    assert [a == b for a, b in zip(base, keys("fox one red fox"), strict=True)] == [True, True, True, True, True, False]
+    assert [a == b for a, b in zip(base, keys("two one red fox"), strict=True)] == [True] * 6
+
+
+def test_op2_keys_do_not_depend_on_the_texts_beside():
+    code = contextmix.Code(np.ones(contextmix.CLASSES, np.int64), 5, 5, np.ones(256, np.int64), 3)
+
+    def keys(texts):
+        words = Words(pa.array(texts, pa.large_string()))
+        d = contextmix.Decisions(code, words, np.full(len(words.hash), -1), len(texts))
+        return np.stack(d.keys)[:, d.first[-2] :]
+
+    assert (keys(["red fox jumps"]) == keys(["some words", "red fox jumps"])).all()
+
+
 def test_op2_counts_of_contexts_are_exact(corpus):
     code = contextmix.Code(np.ones(contextmix.CLASSES, np.int64), 5, 5, np.ones(256, np.int64), 3)
     columns = ["part", "block", "keys", "zeros", "ones"]
