@@ -385,6 +385,30 @@ def test_op2_keys_do_not_depend_on_the_texts_beside():
     assert (keys(["red fox jumps"]) == keys(["some words", "red fox jumps"])).all()
 
 
+def test_op2_follows_a_long_text_to_its_end():
+    """A predictor that is always wrong is turned round once, not anew every few thousand decisions."""
+    n = 20_000
+    odds, bit = [np.full(n, 20, np.int8)] * contextmix.CONTEXTS, np.zeros(n, np.int8)
+    mixer = contextmix.Mixer()
+    whole = mixer.run(odds, bit, np.array([0, n]))[0]
+    start = mixer.run([o[:2048] for o in odds], bit[:2048], np.array([0, 2048]))[0]
+    assert whole < 2 * start
+
+
+def test_op2_weights_are_learned_from_all_training_texts(corpus):
+    code = contextmix.Code(np.ones(contextmix.CLASSES, np.int64), 5, 5, np.ones(256, np.int64), 2)
+    texts = [t or "" for t in corpus] * 5
+    n = len(texts)
+    rows = pa.record_batch({"block": np.zeros(n, np.int64), "kind": np.full(n, 2, np.int32), "doc_id": np.arange(n), "text": pa.array(texts), "train": pa.array([True] * n)})
+    asked = pa.Table.from_batches(list(contextmix.asked(code)(iter([rows])))).sort_by("part")
+    answers = pa.Table.from_batches(list(contextmix._answered(iter(asked.to_batches())))).combine_chunks().to_batches()[0]
+    answers = answers.append_column("kind", pa.array(np.ones(answers.num_rows, np.int32)))
+    got = list(contextmix.learning(code)(iter([answers, rows])))
+    words = Words(pa.array(texts, pa.large_string()))
+    every = contextmix.Decisions(code, words, np.full(len(words.hash), -1), n)
+    assert n > 256 and sum(r["n"] for b in got for r in b.to_pylist()) == len(every.bit)
+
+
 def test_op2_counts_of_contexts_are_exact(corpus):
     code = contextmix.Code(np.ones(contextmix.CLASSES, np.int64), 5, 5, np.ones(256, np.int64), 3)
     columns = ["part", "block", "keys", "zeros", "ones"]
