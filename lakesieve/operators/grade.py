@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,8 +60,11 @@ def bootstrap_ci(signs: list[int], b: int, seed: int, alpha: float = 0.05) -> tu
     """Percentile interval of the mean by resampling with the standard library's generator."""
     if not signs:
         return 0.0, 0.0
-    draw, n = random.Random(seed), len(signs)
-    means = sorted(sum(draw.choices(signs, k=n)) / n for _ in range(b))
+    # numpy's legacy generator in the state of the standard one makes the same numbers; choices takes floor(random() * n)
+    state, n, own = random.Random(seed).getstate()[1], len(signs), np.asarray(signs, np.int64)
+    draw = np.random.RandomState()
+    draw.set_state(("MT19937", np.array(state[:-1], np.uint32), state[-1]))
+    means = sorted(int(own[(draw.random_sample(n) * n).astype(np.int64)].sum()) / n for _ in range(b))
     low, high = ranks(b, alpha)
     return means[low], means[high]
 

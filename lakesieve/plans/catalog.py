@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lakesieve.functions import text as T
 from lakesieve.operators import grade, holdout, ledger, scan, seal, surfaces
 
-CONFIG = grade.GradeConfig(bootstrap_b=200)
+CONFIG = grade.GradeConfig()
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -127,13 +127,8 @@ def q17(spark, d):
     return grade.hash_interval(_signs(spark, d), ["task"], CONFIG.bootstrap_b, CONFIG.seed).select("task", F.bround("lo", 6).alias("lo"), F.bround("hi", 6).alias("hi"))
 
 
-def _bounds(spark, d):
-    """Bounds over the per-task means, by the normal interval of their number, so that SQL can say the same."""
-    return grade.per_task(_signs(spark, d)).agg(F.coalesce(F.min("mean_sign"), F.lit(0.0)).alias("lo"), F.coalesce(F.max("mean_sign"), F.lit(0.0)).alias("hi"))
-
-
 def q18(spark, d):
-    return grade.verdict(_trials(spark, d), "click", "view", _trials(spark, d), CONFIG, _bounds(spark, d))
+    return grade.verdict(_trials(spark, d), "click", "view", _trials(spark, d), CONFIG)
 
 
 def q18_interval(spark, d):

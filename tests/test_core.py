@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lakesieve.functions import text as T
 from lakesieve.operators import grade, holdout, ledger, scan, seal, surfaces
+from lakesieve.plans import catalog
 from lakesieve.sources import files, tables
 from lakesieve.streaming import live
 
@@ -109,6 +110,19 @@ def test_next_counter(spark):
     assert rows(ledger.next_counter(used)) == [("a", 2), ("b", 0), ("c", 1)]
 
 
+def test_registered_verdict_is_the_pooled_bootstrap(spark, tmp_path):
+    rows = [(i, i % 6, ("click", "view", "error")[i % 3 if i % 11 else 2], float(i * 37 % 19)) for i in range(90)]
+    spark.createDataFrame([(i, i // 3 % 6, k, v) for i, _, k, v in rows], "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    own = [(u, i, j, (v > w) - (v < w)) for i, u, k, v in ((i, i // 3 % 6, k, v) for i, _, k, v in rows) if k == "click" for j, t, x, w in ((j, j // 3 % 6, k, v) for j, _, k, v in rows) if x == "view" and t == u]
+    signs = [s for *_, s in sorted(own)]
+    draw, n = random.Random(20260918), len(signs)
+    means = sorted(sum(draw.choices(signs, k=n)) / n for _ in range(10_000))
+    got, r = catalog.QUERIES["q18_interval"](spark, str(tmp_path)).first(), catalog.QUERIES["q18_verdict"](spark, str(tmp_path)).first()
+    assert n > 20 and (got["lo"], got["hi"], got["n"]) == (means[250], means[9750], n)
+    assert (r["pairs_graded"], r["lo"], r["hi"]) == (n, round(means[250], 4), round(means[9750], 4))
+    assert catalog.CONFIG.bootstrap_b == 10_000
+
+
 def test_bootstrap():
     assert grade.bootstrap_ci([1] * 8, 100, 1) == (1.0, 1.0)
     assert grade.bootstrap_ci([1, -1] * 20, 10_000, 20260918) == (-0.3, 0.3)
