@@ -1,9 +1,10 @@
-"""Connected components of an edge table by hooking to the smallest neighbour and contracting.
+"""Connected components of an edge table by contraction.
 
-Every round maps each node with edges to the smallest id among itself and its neighbours, follows that map once more, and
-relabels the edges by it; nothing leaves the executors but whether edges are left. A star, which is what near-copies of one
-text make, is gone after one round, and chains shrink by a constant factor a round. Hot nodes only ever meet unique rows in
-joins, so that adaptive execution may split them, and minima are taken before shuffling.
+Every round maps each node with edges to the first among itself and its neighbours, and relabels the edges by that map, until none
+is left. First by id in even rounds, which ends stars in two; by a hash of id and round in odd ones, by which chains shrink by a
+constant factor, whatever their ids. Maps, labels and edges are written each round, so that plans stay small, nothing leaves the
+executors but the number of edges, and hot nodes only meet unique rows in joins whose sides are plain tables, which adaptive
+execution may split. Minima are taken before shuffling.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 from .shared import stored
 
 
-def _through(rows: DataFrame, parent: DataFrame, col: str) -> DataFrame:
-    return rows.join(parent.select(F.col("node").alias(col), "to"), col, "left").withColumn(col, F.coalesce("to", col)).drop("to")
+def _through(rows: DataFrame, to: DataFrame, col: str) -> DataFrame:
+    """col replaced by what `to` (node, to) maps it to, where it does."""
+    return rows.join(to.select(F.col("node").alias(col), "to"), col, "left").withColumn(col, F.coalesce("to", col)).drop("to")
 
 
 def _tidy(edges: DataFrame) -> DataFrame:
@@ -24,15 +26,27 @@ def _tidy(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(a long, b long) edges -> (node long, component long) for every node with an edge to another; the smallest id names it."""
-    edges, maps = _tidy(edges), []
+    edges, labels, turn = _tidy(edges), None, 0
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a")).toDF("node", "to")
-        near = both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("to"))
-        maps.append(stored(_through(near.withColumnRenamed("to", "up"), near, "up").select("node", F.col("up").alias("to")), "parents"))
-        edges = _tidy(_through(_through(edges, maps[-1], "a"), maps[-1], "b"))
-    if not maps:
+        if turn % 2:
+            rank = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("to"))  # noqa: B023, E731
+            near = both.groupBy("node").agg(F.min(rank("to")).alias("first")).select("node", F.least("first", rank("node"))["to"].alias("to"))
+        else:
+            near = both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("to"))
+        near = stored(near, "near")
+        labels = near.withColumnRenamed("to", "component") if labels is None else stored(_through(labels, near, "component"), "labels").select("node", "component")
+        edges = _tidy(_through(stored(_through(edges, near, "a"), "edges"), near, "b"))
+        turn += 1
+    if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    labels = maps[0].withColumnRenamed("to", "component")
-    for parent in maps[1:]:
-        labels = _through(labels, parent, "component")
-    return labels.select("node", "component")
+    names = stored(labels.groupBy("component").agg(F.min("node").alias("to")).withColumnRenamed("component", "node"), "names")
+    return stored(_through(labels, names, "component").select("node", "component"), "labels")
+
+
+def joined(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """Labels of components() with more edges; only what those touch is contracted again. Nodes of neither are not in the result."""
+    as_map = labels.withColumnRenamed("component", "to")
+    again = components(_through(stored(_through(more, as_map, "a"), "edges"), as_map, "b")).withColumnRenamed("component", "to")
+    alone = again.join(labels, "node", "left_anti").select("node", F.col("to").alias("component"))
+    return stored(_through(labels, again, "component").select("node", "component").unionByName(alone), "labels")

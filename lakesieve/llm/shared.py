@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -61,6 +63,20 @@ def slices(n_bytes: list[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         yield at, len(n_bytes)
 
 
+def tidied(run: Callable) -> Callable:
+    """A function over Arrow batches that gives memory back to the system when its partition is done: Python workers are used again."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """f on every Arrow batch."""
 
@@ -69,4 +85,4 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], sche
             if b.num_rows:
                 yield f(b)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
