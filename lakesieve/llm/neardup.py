@@ -38,7 +38,7 @@ MOST_COUNTERS = 1 << 20
 #: Ids that are broadcast at most, 24 bytes each; more are met by shuffling.
 BROADCAST_ROWS = 1 << 18
 #: Pairs of one text that one group of a comparison is expected to hold at most.
-PAIRS_A_GROUP = 1 << 12
+PAIRS_A_GROUP = 1 << 8
 _RANDOM = np.random.default_rng(97)
 _MULTIPLY = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64)
