@@ -63,6 +63,13 @@ def slices(n_bytes: list[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         yield at, len(n_bytes)
 
 
+def trim() -> None:
+    """Gives memory that is no longer held back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidied(run: Callable) -> Callable:
     """A function over Arrow batches that gives memory back to the system when its partition is done: Python workers are used again."""
 
@@ -70,9 +77,7 @@ def tidied(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # another C library
-                ctypes.CDLL(None).malloc_trim(0)
+            trim()
 
     return wrapped
 

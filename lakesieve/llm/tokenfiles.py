@@ -166,7 +166,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, shards: int | No
             yield closed()
 
     ordered = tokens.repartitionByRange(shards, "doc_id") if shards else tokens.repartitionByRange("doc_id")
-    return shared.stored(ordered.sortWithinPartitions("doc_id", "ids").mapInArrow(run, BLOCKS), "blocks"), freq
+    return shared.stored(ordered.sortWithinPartitions("doc_id", "ids").mapInArrow(shared.tidied(run), BLOCKS), "blocks"), freq
 
 
 def read_token_files(blocks: DataFrame, freq: np.ndarray, raw: bool = False) -> DataFrame:

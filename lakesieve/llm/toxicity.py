@@ -4,13 +4,14 @@ Words (runs of letters, digits and non-ASCII bytes, A-Z as a-z) and their first
 bucket that enough training texts hold has an embedding of its own, all others share one. A word's embedding is the sum of
 its five, so that inflected and compound words share what their stems mean. Filters over WIDTHS neighbouring words are followed by
 max pooling over the whole text and a logistic unit. Adam minimizes the log loss on a bounded sample of the labelled rows
-(SAMPLE_ROWS, smallest hashes of the id); the epoch that does best on a tenth of it, set aside, is kept. That tenth
-also gives each language's threshold, the one of best F1. The score sees the text alone, never language, source,
+(SAMPLE_ROWS, smallest hashes of the id, and SAMPLE_WORDS words); the epoch that does best on a tenth of it, set aside, is kept. That tenth
+also gives each language's threshold, the one of best F1, held between 0.1 and 0.7. The score sees the text alone, never language, source,
 id or labels.
 
 Null and empty texts, and texts without words, get the score of an empty pooling (all features at zero). Texts of any length are
 scored whole. Rows with a null id or label are not learned from; several labels of one id count as their maximum. With
-labels of one class only, the score is that class's share. Equal texts get equal scores.
+labels of one class only, the score is that class's share. Equal texts get equal scores. Repeated rows are scored each; an empty
+table gives no rows; a column named like the score is replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from . import shared
 from .bytewords import IS_MARK, Words
 
 BUCKETS, DIMENSIONS, FILTERS, WIDTHS, PREFIXES = 1 << 22, 8, 12, (1, 2, 3), (4, 5, 6, 7)
+#: Of the sample, no text of more than LONGEST words is learned from, and no more texts once it has SAMPLE_WORDS words, 20 bytes each.
+SAMPLE_WORDS, LONGEST = 6_000_000, 100_000
 SAMPLE_ROWS, EPOCHS, STEPS, BATCH, RATE, MIN_TEXTS = 4_000, 10, 400, 64, 0.01, 3
 
 
@@ -204,15 +207,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> C
     chosen = docs.select("doc_id", "text", lang.alias("lang")).join(F.broadcast(sample), F.col("doc_id") == F.col("id")).select("doc_id", "toxic", "lang", "text")
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = [w.tobytes() for w in buckets(shared.texts_of(batch))]
+        words = [w.tobytes() if len(w) <= LONGEST else None for w in buckets(shared.texts_of(batch))]
         return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(words, pa.binary())], ["doc_id", "toxic", "lang", "words"])
 
-    got = sorted(tuple(r) for r in shared.map_arrow(chosen, hashed, "doc_id long, toxic int, lang string, words binary").collect())
-    order = np.random.default_rng(5).permutation(len(got))
-    got = [got[i] for i in order]
+    found = shared.stored(shared.map_arrow(chosen, hashed, "doc_id long, toxic int, lang string, words binary").where("words is not null"), "sample")
+    got, total = [], 0
+    for r in found.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "words").toLocalIterator():
+        total += len(r["words"]) // (4 * (1 + len(PREFIXES)))
+        if total > SAMPLE_WORDS:
+            break
+        got.append(tuple(r))
     words, marks, langs = [np.frombuffer(r[3], np.int32).reshape(-1, 1 + len(PREFIXES)) for r in got], np.array([r[1] > 0 for r in got], bool), [r[2] for r in got]
     del got
-    return train(words, marks, langs)
+    net = train(words, marks, langs)
+    shared.trim()
+    return net
 
 
 def scored(docs: DataFrame, net: ConvNet, text: str = "text", out: str = "score") -> DataFrame:
@@ -229,7 +238,7 @@ def scored(docs: DataFrame, net: ConvNet, text: str = "text", out: str = "score"
             scores = [net.score(rows[a:b]) for a, b in shared.slices([r.nbytes for r in rows])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores))], [*batch.schema.names, out])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(out, DoubleType()))
+    return docs.mapInArrow(shared.tidied(run), StructType([*docs.schema.fields]).add(out, DoubleType()))
 
 
 def toxic(net: ConvNet, lang: str | None = "lang", score: str = "score"):
