@@ -1,15 +1,16 @@
 """op1: threshold-scaled document fingerprints.
 
-A fingerprint keeps every distinct five-word shingle hash that lies below a fixed fraction of the hash range.
-Fingerprints merge by union and give containment and likeness between documents of very unequal length, since
-two documents keep or leave the same hash alike. The fraction is 2**-level: documents of more than
-min_kept * 2**max_level shingles use 2**-max_level, shorter ones the largest power of two that still leaves
-about min_kept hashes, down to all of them. Two fingerprints are compared at the smaller of their fractions,
-to which the finer one is cut by dropping hashes.
-
-Nulls and empty texts have the fingerprint "0:" and likeness 1 to each other and 0 to any other; a text of one
-to four words has one shingle, all its words. Equal texts have equal fingerprints. Input columns other than
-the id and the text are ignored.
+A fingerprint keeps every distinct five-word shingle hash that lies below a fixed fraction (2**-LEVEL) of the hash range, whatever the
+text's length. So fingerprints merge by union, the merged one being that of both documents together, and give containment and
+likeness between documents of very unequal length, since two documents keep or leave the same hash alike. A fingerprint also
+carries a digest of all its text's shingles: texts with equal sets are told as equal even if they are too short to keep a
+hash. Between different texts of n and m shingles an estimate of likeness rests on about (n + m) / 2**(LEVEL + 1) hashes; where neither
+text keeps one, the estimate is 0.
+
+Nulls and empty texts have the fingerprint "0:" and likeness 1 to each other and 0 to any other; a text of one to four words has one
+shingle, all its words. Equal texts have equal fingerprints. Repeated rows, and rows with equal ids, are texts of their own, taken
+in the order of id and text; a null id comes last. A table of one row is its own next. Input columns other than the id and the
+text are ignored by the query; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,70 +21,73 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
 from .bytewords import Words, split_by_text
 
-SHINGLE_WORDS, MIN_KEPT, MAX_LEVEL = 5, 64, 4
-#: Texts in a range of ids, about; and the most ranges, which bounds what is broadcast.
-RANGE_ROWS, MAX_RANGES = 8192, 4096
+SHINGLE_WORDS, LEVEL = 5, 2
+#: Texts in a range of ids, about; and the most ranges, which bounds what is broadcast: larger tables have longer ranges.
+RANGE_ROWS, MAX_RANGES = 4096, 1 << 15
+Sketch = tuple[int, np.ndarray]
 
 
-def sketch(shingles: np.ndarray, min_kept: int = MIN_KEPT, max_level: int = MAX_LEVEL) -> tuple[int, np.ndarray]:
-    """(level, sorted hashes below 2**(64-level)) of one text's shingle hashes."""
+def sketch(shingles: np.ndarray, level: int = LEVEL) -> Sketch:
+    """(digest of the set, sorted hashes below 2**(64-level)) of one text's shingle hashes; the digest of none is 0."""
     own = np.unique(shingles)
-    level = 0
-    while level < max_level and len(own) >> level > min_kept:
-        level += 1
-    return level, own[: np.searchsorted(own, np.uint64((1 << (64 - level)) - 1), "right")]
+    return (xxhash.xxh3_64_intdigest(own.tobytes()) | 1) * bool(len(own)), own[: np.searchsorted(own, np.uint64((1 << (64 - level)) - 1), "right")]
 
 
-def sketches(texts: pa.Array, k: int = SHINGLE_WORDS, min_kept: int = MIN_KEPT, max_level: int = MAX_LEVEL) -> list[tuple[int, np.ndarray]]:
+def sketches(texts: pa.Array, k: int = SHINGLE_WORDS, level: int = LEVEL) -> list[Sketch]:
     out = []
     sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)).tolist() if len(texts) else []
     for a, b in shared.slices(sizes):
         hashes, doc = Words(texts.slice(a, b - a)).shingles(k)
-        out += [sketch(x, min_kept, max_level) for x in split_by_text(hashes, doc, b - a)]
+        out += [sketch(x, level) for x in split_by_text(hashes, doc, b - a)]
     return out
 
 
-def encode(level: int, hashes: np.ndarray) -> str:
-    return f"{level}:{base64.b64encode(hashes.astype('<u8').tobytes()).decode()}"
+def encode(digest: int, hashes: np.ndarray) -> str:
+    return f"{digest:x}:{base64.b64encode(hashes.astype('<u8').tobytes()).decode()}"
 
 
-def decode(fingerprint: str) -> tuple[int, np.ndarray]:
-    level, _, body = fingerprint.partition(":")
-    return int(level), np.frombuffer(base64.b64decode(body), "<u8")
+def decode(fingerprint: str) -> Sketch:
+    digest, _, body = fingerprint.partition(":")
+    return int(digest, 16), np.frombuffer(base64.b64decode(body), "<u8")
 
 
-def common(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
-    """Both cut to the smaller fraction, and how many hashes they share."""
-    most = np.uint64((1 << (64 - max(a[0], b[0]))) - 1)
-    x, y = (v[: np.searchsorted(v, most, "right")] for v in (a[1], b[1]))
-    both = np.searchsorted(y, x)
-    both[both == len(y)] = 0
-    return x, y, int((y[both] == x).sum()) if len(x) and len(y) else 0
+def common(a: Sketch, b: Sketch) -> int:
+    """How many hashes both keep."""
+    x, y = a[1], b[1]
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int((y[at] == x).sum()) if len(x) and len(y) else 0
 
 
-def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
-    """Estimated Jaccard similarity; two fingerprints without hashes are alike only at the same level."""
-    x, y, both = common(a, b)
-    union = len(x) + len(y) - both
-    return both / union if union else float(a[0] == b[0] and len(a[1]) == len(b[1]))
+def likeness(a: Sketch, b: Sketch) -> float:
+    """Estimated Jaccard similarity; 1 for equal sets."""
+    if a[0] == b[0]:
+        return 1.0
+    both = common(a, b)
+    union = len(a[1]) + len(b[1]) - both
+    return both / union if union else 0.0
 
 
-def containment(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
+def containment(a: Sketch, b: Sketch) -> float:
     """Estimated share of a's shingles that b has."""
-    x, _, both = common(a, b)
-    return both / len(x) if len(x) else 0.0
+    if a[0] == b[0]:
+        return 1.0
+    return common(a, b) / len(a[1]) if len(a[1]) else 0.0
 
 
-def merge(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> tuple[int, np.ndarray]:
-    """The fingerprint of both documents' shingles together, at the smaller fraction."""
-    x, y, _ = common(a, b)
-    return max(a[0], b[0]), np.union1d(x, y)
+def merge(a: Sketch, b: Sketch) -> Sketch:
+    """The fingerprint of both documents' shingles together; its digest is of the two digests, unless one set is the other or empty."""
+    hashes = np.union1d(a[1], b[1])
+    if a[0] == b[0] or not b[0]:
+        return a[0], hashes
+    return (xxhash.xxh3_64_intdigest(np.array(sorted((a[0], b[0])), "<u8").tobytes()) | 1 if a[0] else b[0]), hashes
 
 
 def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
@@ -109,7 +113,7 @@ def with_successor(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = docs.count()
     ranges = min(MAX_RANGES, max(1, n // RANGE_ROWS))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] if ranges > 1 else None
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] if ranges > 1 else None
     cuts = np.unique(np.array(cuts or [], np.int64))
 
     @F.pandas_udf("int")
@@ -126,7 +130,8 @@ def with_successor(docs: DataFrame) -> DataFrame:
     to = spark.createDataFrame(before, "top long, goes_to int").coalesce(1)
     heads = docs.join(F.broadcast(to), docs.doc_id.eqNullSafe(to.top)).groupBy("goes_to", "doc_id").agg(F.min("text").alias("text"))
     both = dealt.select("run", F.lit(False).alias("closes"), "doc_id", "text").unionByName(heads.select(F.col("goes_to").alias("run"), F.lit(True).alias("closes"), "doc_id", "text"))
-    return both.repartition(max(len(order), 1), "run").sortWithinPartitions("run", "closes", F.desc_nulls_last("doc_id"), "text")
+    # runs are numbered from 0, so that each is a task of its own
+    return both.repartitionById(ranges, F.col("run")).sortWithinPartitions("run", "closes", F.desc_nulls_last("doc_id"), "text")
 
 
 OP1_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, contained_edited double"
@@ -135,7 +140,7 @@ OP1_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint strin
 def _edited(batches):
     """Each row but those that close a run, with its fingerprint and that of its edited text."""
     held: tuple | None = None  # the last row seen: run, closes, doc_id, text, sketch
-    for batch in batches:
+    for batch in shared.cut(batches):
         run, closes, ids = (batch.column(i).to_pylist() for i in range(3))
         texts = shared.texts_of(batch)
         rows = list(zip(run, closes, ids, texts.to_pylist(), sketches(texts), strict=True))
@@ -159,4 +164,4 @@ def _edited(batches):
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_successor(shared.documents(spark, sf_dir)).mapInArrow(_edited, OP1_SCHEMA)
+    return with_successor(shared.documents(spark, sf_dir)).mapInArrow(shared.tidied(_edited), OP1_SCHEMA)

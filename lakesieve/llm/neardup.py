@@ -130,9 +130,7 @@ def measured(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
     def compare(batches):
         at, heads = None, []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in shared.cut(batches):
             ids, a, salts, kinds = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "a", "salt", "kind"))
             out: list[tuple[int, int, int, int]] = []
             for x, i, s, kind, own in zip(a, ids, salts, kinds, shingle_sets(shared.texts_of(batch), k), strict=True):
@@ -165,7 +163,7 @@ def shingle_counts(docs: DataFrame, k: int, counters: int) -> np.ndarray:
 
     def count(batches):
         total = np.zeros(counters, np.int64)
-        for batch in batches:
+        for batch in shared.cut(batches):
             texts = shared.texts_of(batch)
             sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)).tolist() if len(texts) else []
             for a, b in shared.slices(sizes):

