@@ -87,7 +87,9 @@ def main(argv: list[str] | None = None) -> int:
         show(scan.skipped(store))
         return int(n > 0)
     if args.command == "audit":
-        show(surfaces.ordered(surfaces.classified(files.read_surfaces(spark, *args.roots))))
+        entries = files.read_surfaces(spark, *args.roots).persist()
+        show(surfaces.ordered(surfaces.classified(entries)))
+        show(surfaces.walked(entries))
         return 0
     if args.command == "derive":
         family = tables.read_family(spark, args.family)

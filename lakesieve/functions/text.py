@@ -22,7 +22,9 @@ def normalized(text: Column | str, unicode_fold: bool = True) -> Column:
     """Folded, lower-case, runs of anything but a-z and 0-9 as one space, trimmed. Without unicode_fold it stays in the JVM."""
     c = F.col(text) if isinstance(text, str) else text
     c = F.coalesce(c, F.lit(""))
-    return F.trim(F.regexp_replace(F.lower(nfkc(c) if unicode_fold else c), "[^a-z0-9]+", " "))
+    if unicode_fold:  # ASCII texts, which folding leaves as they are, are not sent to Python
+        c = F.coalesce(nfkc(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
+    return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
 
 
 def words(norm: Column | str) -> Column:
@@ -61,9 +63,10 @@ def rendered(template: Column | str, values: Column | str) -> Column:
     """The template with {{ name }} replaced from a map of strings, in one pass: replaced text is not looked at again."""
     t = F.col(template) if isinstance(template, str) else template
     m = F.col(values) if isinstance(values, str) else values
-    mark = F.regexp_replace(t, r"\{\{\s*(\w+)\s*\}\}", "\u0001$1\u0002")
-    parts = F.split(mark, "\u0001")
-    return F.concat_ws("", F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.coalesce(m[F.split_part(p, F.lit("\u0002"), F.lit(1))], F.lit("")), F.split_part(p, F.lit("\u0002"), F.lit(2))))))
+    plain = F.split(t, r"\{\{\s*\w+\s*\}\}", -1)  # what stands between the references
+    names = F.concat(template_refs(t), F.array(F.lit("")))
+    shown = F.transform(F.arrays_zip(plain.alias("p"), names.alias("n")), lambda x: F.concat(x["p"], F.coalesce(m[x["n"]], F.lit(""))))
+    return F.array_join(shown, "")
 
 
 def human_size(n: Column) -> Column:

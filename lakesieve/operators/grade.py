@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from lakesieve.functions.text import stripped
 
 
+# The rule of decision and its resampling.
 @dataclass(frozen=True)
 class GradeConfig:
     margin: float = 0.10
@@ -80,18 +83,38 @@ def interval(signs: DataFrame, config: GradeConfig) -> DataFrame:
     return signs.groupBy(F.lit(1).alias("one")).applyInPandas(resample, "lo double, hi double, n long")
 
 
+def hash_draws(b: int, n: int, seed: int) -> Iterator[np.ndarray]:
+    """n numbers for each replicate, some replicates (rows) at a time: number i of replicate r is the 32 bits at i mod 8 of sha256(seed:r:i div 8)."""
+    eights = -(-n // 8)
+    some = max(1, (1 << 20) // eights)
+    for first in range(0, b, some):
+        raw = b"".join(hashlib.sha256(b"%d:%d:%d" % (seed, r, i)).digest() for r in range(first, min(b, first + some)) for i in range(eights))
+        yield np.frombuffer(raw, ">u4").reshape(-1, 8 * eights)[:, :n]
+
+
 def hash_interval(signs: DataFrame, group: list[str], b: int, seed: int, alpha: float = 0.05) -> DataFrame:
-    """The interval of each group by resampling with hashes, in SQL only: draw i of replicate r is the sign at sha256(seed:r:i) mod n.
+    """The interval of each group by resampling with hashes, which any engine can repeat; groups are resampled side by side.
 
-    Signs of a group are held as counts of -1, 0 and 1, so that a draw is a comparison and no pair is joined back.
+    Draw i of replicate r is the sign at place v mod n, v being the number that hash_draws has for it.
+
+    Signs of a group are held as counts of -1, 0 and 1, one row a group, so that a draw is a comparison and no pair is joined back.
     """
-    g = signs.groupBy(*group).agg(F.count("*").alias("n"), F.count_if(F.col("sign") < 0).alias("neg"), F.count_if(F.col("sign") == 0).alias("zero"))
-    draws = g.select("*", F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("r")).select("*", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("i"))
-    place = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), "r", "i"), 256), 1, 8), 16, 10).cast("long") % F.col("n")
-    drawn = draws.withColumn("s", F.when(place < F.col("neg"), -1).when(place < F.col("neg") + F.col("zero"), 0).otherwise(1))
-    means = drawn.groupBy(*group, "r", "n").agg((F.sum("s") / F.col("n")).alias("m"))
     low, high = ranks(b, alpha)
-    return means.groupBy(*group).agg(F.sort_array(F.collect_list("m")).alias("v")).select(*group, F.element_at("v", low + 1).alias("lo"), F.element_at("v", high + 1).alias("hi"))
+
+    def resample(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            own = list(zip(pdf["n"], pdf["neg"], pdf["zero"], strict=True))
+            means: list[list[np.ndarray]] = [[] for _ in own]
+            for v in hash_draws(b, max((n for n, _, _ in own), default=1), seed):  # the same numbers serve all groups
+                for (n, neg, zero), m in zip(own, means, strict=True):
+                    place = v[:, :n] % np.uint32(n)
+                    m.append(((place >= neg + zero).sum(1) - (place < neg).sum(1).astype(np.int64)) / n)
+            bounds = [np.sort(np.concatenate(m))[[low, high]] for m in means]
+            yield pdf[group].assign(lo=[x for x, _ in bounds], hi=[x for _, x in bounds])
+
+    g = signs.groupBy(*group).agg(F.count("*").alias("n"), F.count_if(F.col("sign") < 0).alias("neg"), F.count_if(F.col("sign") == 0).alias("zero"))
+    spread = g.repartition(*group)  # else adaptive execution puts these few rows, each long to work on, into one task
+    return spread.mapInPandas(resample, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in signs.schema.fields if f.name in group), "lo double", "hi double"]))
 
 
 def decision(n: Column, excluded_pct: Column, lo: Column, hi: Column, short: Column, config: GradeConfig) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,11 +13,12 @@ from pyspark.sql import functions as F
 
 from lakesieve.functions import text as T
 
+#: `of` holds the members as JSON text, so that numbers stay numbers.
 SLOTS = "array<struct<name:string,kind:string,min:bigint,max:bigint,count:int,of:array<string>,sep:string>>"
 KINDS = ("int", "int_list", "choice", "permutation")
 
 
-class SeedStream:
+class HashDraws:
     """Uniform integers from SHA-256 of "key:0", "key:1", ..., eight bytes each, little-endian, by rejection."""
 
     def __init__(self, key: str):
@@ -50,7 +52,7 @@ class SeedStream:
 
 def slot_values(slots: list[dict], key: str) -> dict:
     """Values of a family's slots from one stream, in the order of their names."""
-    stream, values = SeedStream(key), {}
+    stream, values = HashDraws(key), {}
     for s in sorted(slots, key=lambda s: s["name"]):
         match s["kind"]:
             case "int":
@@ -69,6 +71,27 @@ def canonical(values: dict) -> str:
     return json.dumps(values, sort_keys=True, separators=(",", ":"))
 
 
+REFERENCE = re.compile(r"\{\{\s*(\w+)\s*\}\}")
+
+
+def references(template: str) -> list[str]:
+    return REFERENCE.findall(template)
+
+
+def filled(template: str, shown: dict[str, str]) -> str:
+    """The template with its references replaced, in one pass."""
+    return REFERENCE.sub(lambda m: shown[m[1]], template)
+
+
+def shown(value, sep: str = " ") -> str:
+    return sep.join(map(str, value)) if isinstance(value, list) else str(value)
+
+
+def content_digest(texts: dict[str, str]) -> str:
+    """SHA-256 over an instance's files by name."""
+    return hashlib.sha256("".join(f"{name}\n{hashlib.sha256(texts[name].encode()).hexdigest()}\n" for name in sorted(texts)).encode()).hexdigest()
+
+
 def derived(seeds: DataFrame, families: DataFrame) -> DataFrame:
     """(family, n) x (family, prompt, slots) -> family, n, seed, slots_json, slot_sha256, prompt; families are broadcast, being few."""
 
@@ -76,7 +99,7 @@ def derived(seeds: DataFrame, families: DataFrame) -> DataFrame:
     def values(family: pd.Series, seed: pd.Series, slots: pd.Series) -> pd.DataFrame:
         out = []
         for f, s, spec in zip(family, seed, slots, strict=True):
-            specs = json.loads(spec)
+            specs = [x | {"of": [json.loads(m) for m in x["of"]]} if x.get("of") else x for x in json.loads(spec)]
             got = slot_values(specs, f"{f}/{s}")
             sep = {x["name"]: x.get("sep", " ") for x in specs}
             out.append((canonical(got), {k: sep[k].join(map(str, v)) if isinstance(v, list) else str(v) for k, v in got.items()}))
@@ -113,6 +136,7 @@ def problems(families: DataFrame) -> DataFrame:
         (families, F.coalesce(F.size("slots"), F.lit(0)) < 1, F.lit("no slots")),
         (slots, ~F.col("s.kind").isin(*KINDS), F.concat(F.lit("unknown kind: "), "s.name")),
         (slots, F.col("s.kind").isin("int", "int_list") & ~F.coalesce(F.col("s.min") <= F.col("s.max"), F.lit(False)), F.concat(F.lit("needs min <= max: "), "s.name")),
+        (slots, F.col("s.kind").isin("int", "int_list") & F.coalesce(F.col("s.max").cast("decimal(38,0)") - F.col("s.min") + 1 > F.lit(str(2**63)).cast("decimal(38,0)"), F.lit(False)), F.concat(F.lit("range above 2^63: "), "s.name")),
         (slots, (F.col("s.kind") == "int_list") & ~F.coalesce(F.col("s.count") >= 1, F.lit(False)), F.concat(F.lit("needs count >= 1: "), "s.name")),
         (slots, F.col("s.kind").isin("choice", "permutation") & (F.coalesce(F.size("s.of"), F.lit(0)) < 1), F.concat(F.lit("needs a non-empty list: "), "s.name")),
     ]

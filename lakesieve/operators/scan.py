@@ -1,10 +1,14 @@
 """Leak scan: which stored texts hold a secret item exactly, nearly or in traces.
 
-The scan is an inverted-index join. Both sides are cut into k-word windows; windows meet on a 64-bit hash, and only those that
-meet get the SHA-256 that reports show. Containment is checked on the pairs that share a window, which loses none: a
-text that holds an item of k + 2 words or more holds all its inner windows. Items of k or k + 1 words are looked for by themselves.
-
-No output holds text: findings carry ids, counts and hashes only.
+The scan is an inverted-index join. Both sides are cut into k-word windows, for all k of a manifest in one pass; windows meet on a
+64-bit hash, and only those that meet get the SHA-256 that reports show. Containment is checked on the pairs that share a window,
+which loses none: a text that holds an item of n words holds its n - 2 inner words whole, and an item too short to have a window
+among them is met by those inner words instead. Only hashes and short ids of items are sent to the texts, and texts are read once
+more for the few that have met an item; neither they nor the items' texts are shuffled with the windows.
+
+A store row is told apart by id and text: rows of one id and different texts are scanned each by itself, equal rows count once. Equal
+manifest rows give a finding each. A null `retired` counts as active, a null store id as an id. No output holds text: findings carry
+ids, counts and hashes only.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ def manifest(items: DataFrame, unicode_fold: bool = True, k: int = T.SHINGLE_WOR
 
 def retire(rows: DataFrame, instance: str) -> DataFrame:
     """Every active row of the instance becomes retired."""
-    return rows.withColumn("retired", F.col("retired") | (F.col("instance") == instance))
+    return rows.withColumn("retired", F.coalesce(F.col("retired"), F.lit(False)) | (F.col("instance") == instance))
 
 
 def listed(rows: DataFrame) -> DataFrame:
@@ -59,49 +63,58 @@ def severity_order(severity: Column) -> Column:
     return F.when(severity == "exact", 2).when(severity == "near", 1).otherwise(0)
 
 
+def active(items: DataFrame) -> DataFrame:
+    """Manifest rows that are scanned for; what is not marked as retired is."""
+    return items.where(~F.coalesce(F.col("retired"), F.lit(False)))
+
+
+def _cut(rows: DataFrame, key: list[str], sizes: str = "sizes") -> DataFrame:
+    """One row for each window of each of the sizes: key, size, place, a 64-bit hash, and the window."""
+    cut = rows.select(*key, T.words("normalized").alias("w"), F.explode(sizes).alias("size"))
+    return cut.select(*key, "size", F.posexplode(T.windows("w", F.col("size"))).alias("pos", "window")).withColumn("x", F.xxhash64("size", "window"))
+
+
 def findings(store: DataFrame, items: DataFrame, min_overlap: int = MIN_OVERLAP, unicode_fold: bool = True) -> DataFrame:
-    """(store_file, text) against manifest rows -> one row for each store and item that match."""
+    """(store_file, text) against manifest rows -> one row for each store row and item that match.
+
+    Two jobs run at once: one over the manifest, which tells whether its hashes may be broadcast, and one that finds the pairs that share a
+    window, which tells whether their ids may.
+    """
     if min_overlap < 1:
         raise ValueError("min_overlap must be 1 or more")
-    active = items.where(~F.col("retired")).withColumn("n_words", F.size(T.words("normalized")))
-    ks = [r[0] for r in active.select("shingle_words").distinct().collect()]
-    parts = [_findings(store, active.where(F.col("shingle_words") == k), k, min_overlap, unicode_fold) for k in ks]
-    if not parts:
-        parts = [_findings(store, active, T.SHINGLE_WORDS, min_overlap, unicode_fold)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _windows(rows: DataFrame, key: list[str], k: int) -> DataFrame:
-    """One row for each k-word window: key, its place, a 64-bit hash, and the window itself."""
-    cut = rows.select(*key, T.words("normalized").alias("w")).select(*key, F.posexplode(T.windows("w", k)).alias("pos", "window"))
-    return cut.withColumn("x", F.xxhash64("window"))
-
-
-def _findings(store: DataFrame, items: DataFrame, k: int, min_overlap: int, unicode_fold: bool) -> DataFrame:
-    texts = store.select("store_file", T.normalized("text", unicode_fold).alias("normalized"))
-    item_key = ["instance", "seed", "full_sha256", "item_text", "n_words", "total"]
-    own = items.select("instance", "seed", "full_sha256", F.col("normalized").alias("item_text"), "normalized", "n_words", F.greatest(F.size("shingles"), F.lit(1)).alias("total"))
-    item_windows = _windows(own, item_key, k).dropDuplicates([*item_key, "x"])
-    small = item_windows.count() <= BROADCAST_WINDOWS
-    meet = _windows(texts, ["store_file"], k).join((F.broadcast if small else lambda d: d)(item_windows.drop("pos", "window")), "x")
-    hits = meet.withColumn("h", T.sha("window")).groupBy("store_file", *item_key).agg(F.count_distinct("h").alias("matched"), F.min("pos").alias("first_pos"), F.min("h").alias("evidence"))
-    both = hits.join(texts.withColumnRenamed("store_file", "s"), F.col("store_file") == F.col("s"))
-    # windows of k or k + 1 words have no inner window: such items are few and are met by containment alone
-    brief = own.where(F.col("n_words").isin(k, k + 1)).drop("normalized")
-    alone = texts.crossJoin(F.broadcast(brief) if small else brief).where(F.expr("contains(normalized, item_text)")) if brief.limit(1).count() else None
-    exact = F.expr("contains(normalized, item_text)") & (F.col("n_words") >= k)
-    out = both.select("store_file", *item_key, "matched", "first_pos", "evidence", exact.alias("exact"), F.expr("instr(normalized, item_text)").alias("at"))
-    if alone is not None:
-        extra = alone.select("store_file", *item_key, F.lit(0).cast("long").alias("matched"), F.lit(None).cast("int").alias("first_pos"), F.lit(None).cast("string").alias("evidence"), F.lit(True).alias("exact"), F.expr("instr(normalized, item_text)").alias("at"))
-        out = out.unionByName(extra.join(hits.select("store_file", "instance", "seed"), ["store_file", "instance", "seed"], "left_anti"))
+    key = ["instance", "seed", "full_sha256", "shingle_words"]
+    own = active(items).withColumn("n_words", F.size(T.words("normalized")))
+    own = own.groupBy(*key).agg(F.count("*").alias("copies"), F.max("normalized").alias("normalized"), F.max("n_words").alias("n_words"), F.max(F.array_min("shingles")).alias("least"), F.max(F.greatest(F.size("shingles"), F.lit(1))).alias("total"))
+    own = own.withColumn("iid", F.xxhash64(*key)).withColumn("k", F.col("shingle_words"))
+    size = own.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first()["n"]
+    sent = (lambda d: F.broadcast(d)) if size <= BROADCAST_WINDOWS else (lambda d: d)
+
+    whole = _cut(own.withColumn("sizes", F.array("k")), ["iid", "k"]).select("iid", "x", "size", F.lit(True).alias("whole"))
+    brief = own.where((F.col("n_words") >= F.col("k")) & (F.col("n_words") < F.col("k") + 2) & (F.col("n_words") > 2))
+    inner = brief.select("iid", (F.col("n_words") - 2).alias("size"), F.array_join(F.slice(T.words("normalized"), 2, F.col("n_words") - 2), " ").alias("window"))
+    index = whole.unionByName(inner.select("iid", F.xxhash64("size", "window").alias("x"), "size", F.lit(False).alias("whole"))).distinct()
+    sizes = index.agg(F.sort_array(F.collect_set("size")).alias("sizes"))  # one row
+
+    texts = store.select("store_file", F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), T.normalized("text", unicode_fold).alias("normalized"))
+    meet = _cut(texts.join(F.broadcast(sizes)), ["store_file", "row"]).join(sent(index.drop("size")), "x")
+    h = F.when(F.col("whole"), T.sha("window"))
+    hits = meet.groupBy("store_file", "row", "iid").agg(F.count_distinct(h).alias("matched"), F.min(F.when(F.col("whole"), F.col("pos"))).alias("first_pos"), F.min(h).alias("evidence")).persist()
+    few = hits.count() <= BROADCAST_WINDOWS
+    found = hits.withColumnRenamed("store_file", "s").withColumnRenamed("row", "r")
+    same = F.col("store_file").eqNullSafe(F.col("s")) & (F.col("row") == F.col("r"))
+    pairs = texts.join(F.broadcast(found) if few else found, same).drop("s", "r")
+    # items of one or two words have no inner window; they are tried on every text
+    tiny = own.where((F.col("n_words") >= F.col("k")) & (F.col("n_words") < 3) & (F.col("n_words") > 0)).select("iid", F.col("normalized").alias("word"))
+    alone = texts.join(sent(tiny), F.expr("contains(normalized, word)")).join(F.broadcast(hits.select(F.col("store_file").alias("s"), F.col("row").alias("r"), F.col("iid").alias("i"))) if few else hits.select(F.col("store_file").alias("s"), F.col("row").alias("r"), F.col("iid").alias("i")), same & (F.col("iid") == F.col("i")), "left_anti")
+    alone = alone.select("store_file", "row", "normalized", "iid", F.lit(0).cast("long").alias("matched"), F.lit(None).cast("int").alias("first_pos"), F.lit(None).cast("string").alias("evidence"))
+
+    texted = own.select("iid", *key, "copies", F.col("normalized").alias("item_text"), "n_words", "least", "total")
+    out = pairs.unionByName(alone).join(sent(texted), "iid").withColumn("exact", F.expr("contains(normalized, item_text)") & (F.col("n_words") >= F.col("shingle_words")))
+    out = out.withColumn("at", F.when(F.col("exact"), F.expr("instr(normalized, item_text)"))).drop("normalized", "item_text")
+    out = out.where(F.col("exact") | (F.col("matched") >= min_overlap)).dropDuplicates(["store_file", "row", "iid"])
     matched = F.when(F.col("exact"), F.col("total")).otherwise(F.col("matched")).cast("int")
     share = 100.0 * matched / F.col("total")
-    all_min = items.select(F.col("full_sha256").alias("f"), F.array_min("shingles").alias("least")).distinct()
-    out = out.where(F.col("exact") | (F.col("matched") >= min_overlap)).join(F.broadcast(all_min) if small else all_min, F.col("full_sha256") == F.col("f"))
-    return out.select(
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
         "store_file",
         "instance",
         "seed",
@@ -121,9 +134,10 @@ def ranked(found: DataFrame) -> DataFrame:
 
 
 def overlapping_items(items: DataFrame, least: int = 2) -> DataFrame:
-    """Pairs of different items that share `least` shingles or more."""
-    h = items.select("instance", F.explode("shingles").alias("h"))
-    a, b = h.withColumnRenamed("instance", "a"), h.withColumnRenamed("instance", "b")
+    """Pairs of different items that share `least` shingles or more. A shingle of one item alone is left before pairs are made."""
+    h = items.select("instance", F.explode("shingles").alias("h")).distinct()
+    shared = h.join(h.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "h", "left_semi")
+    a, b = shared.withColumnRenamed("instance", "a"), shared.withColumnRenamed("instance", "b")
     return a.join(b, "h").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_shared")).where(F.col("n_shared") >= least)
 
 

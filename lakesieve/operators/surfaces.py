@@ -28,11 +28,16 @@ def suffix(name: Column) -> Column:
 
 
 def classified(entries: DataFrame) -> DataFrame:
-    """(path, is_dir, size, modified) -> path, kind, size, modified of the surfaces; size is -1 for directories."""
+    """(path, is_dir, size, modified[, has_text, note]) -> path, kind, size, modified of the surfaces; size is -1 for directories.
+
+    Without has_text, a directory holds text if an entry below it does."""
+    if "note" in entries.columns:
+        entries = entries.where("note is null")
     e = entries.withColumns({"name": F.element_at(F.split("path", "/"), -1), "parent": F.regexp_replace("path", "/[^/]*$", "")})
     low, ext = F.lower("name"), suffix(F.col("name"))
-    with_text = e.where(~F.col("is_dir") & ext.isin(TEXT_SUFFIXES)).select(F.col("parent").alias("path")).distinct().withColumn("has_text", F.lit(True))
-    e = e.join(with_text, "path", "left")
+    if "has_text" not in entries.columns:
+        with_text = e.where(~F.col("is_dir") & ext.isin(TEXT_SUFFIXES)).select(F.col("parent").alias("path")).distinct().withColumn("has_text", F.lit(True))
+        e = e.join(with_text, "path", "left")
     hinted = F.lit(False)
     for h in VECTOR_HINTS:
         hinted = hinted | low.contains(h)
@@ -51,5 +56,12 @@ def ordered(surfaces: DataFrame) -> DataFrame:
     return surfaces.orderBy(F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")), "path")
 
 
+def walked(entries: DataFrame) -> DataFrame:
+    """One row over a walk: entries, directories, what could not be read, unknown roots, and whether it was cut."""
+    n = lambda c: F.count_if(c)
+    plain = F.col("note").isNull()
+    return entries.agg(n(plain).alias("entries"), n(plain & F.col("is_dir")).alias("directories"), n(F.col("note") == "unreadable").alias("unreadable"), n(F.col("note") == "unknown-root").alias("unknown_roots"), (n(F.col("note") == "truncated") > 0).alias("truncated"))
+
+
 def counts(surfaces: DataFrame) -> DataFrame:
     return surfaces.groupBy("kind").agg(F.count("*").alias("n"))

@@ -174,8 +174,8 @@ def q23(spark, d):
 
 
 FAMILIES = [
-    ("frost", "task {{ tag }}: {{ nums }} to {{nums}}", [("nums", "int_list", 1, 15, 4, None, None), ("tag", "permutation", None, None, None, ["A", "B", "C", "D"], None)]),
-    ("gate", "pick {{ one }} of {{ n }}", [("one", "choice", None, None, None, ["x", "y", "z"], None), ("n", "int", 3, 9, None, None, None)]),
+    ("frost", "task {{ tag }}: {{ nums }} to {{nums}}", [("nums", "int_list", 1, 15, 4, None, None), ("tag", "permutation", None, None, None, ['"A"', '"B"', '"C"', '"D"'], None)]),
+    ("gate", "pick {{ one }} of {{ n }}", [("one", "choice", None, None, None, ['"x"', '"y"', '"z"'], None), ("n", "int", 3, 9, None, None, None)]),
 ]
 
 
@@ -284,7 +284,6 @@ g AS (SELECT a.task, a.seq AS a_seq, b.seq AS b_seq, sign(a.score - b.score)::IN
 p AS (SELECT task, count(*) AS n_pairs, round_even(avg(sign), 4) AS mean_sign FROM g GROUP BY task),
 pt AS (SELECT task, coalesce(n_pairs, 0) AS n_pairs, mean_sign FROM (SELECT DISTINCT task FROM t) LEFT JOIN p USING (task))
 """
-_LOW, _HIGH = grade.ranks(CONFIG.bootstrap_b, CONFIG.alpha)
 
 ORACLE = {
     "q01_manifest": f"""WITH i AS (SELECT item_id AS instance, sha256(coalesce(text, '')) AS full_sha256, string_split({_norm("text")}, ' ') AS w FROM benchmark),
@@ -308,20 +307,6 @@ WHERE skip_reason IS NOT NULL GROUP BY skip_reason""",
 SELECT user_id, event_type AS kind, count(*) AS n, state FROM events JOIN l USING (user_id) GROUP BY ALL""",
     "q15_signs": _SIGNS + "SELECT task, n_pairs, mean_sign FROM pt",
     "q16_net": _SIGNS + "SELECT (SELECT count(*) FROM g) AS n_pairs, (SELECT round_even(avg(sign), 6) FROM g) AS net, round_even(100.0 * count(reason) / greatest(1, count(*)), 4) AS excluded_pct FROM t",
-    "q17_hash_interval": _SIGNS
-    + f""", c AS (SELECT task, count(*) AS n, count(*) FILTER (sign < 0) AS neg, count(*) FILTER (sign = 0) AS zero FROM g GROUP BY task),
-r AS (SELECT c.*, r, unnest(range(n)) AS i FROM c, range({CONFIG.bootstrap_b}) q(r)),
-z AS (SELECT *, ('0x' || substr(sha256('{CONFIG.seed}:' || r || ':' || i), 1, 8))::BIGINT % n AS place FROM r),
-m AS (SELECT task, r, sum(CASE WHEN place < neg THEN -1 WHEN place < neg + zero THEN 0 ELSE 1 END) / n AS mean FROM z GROUP BY task, r, n),
-o AS (SELECT task, list_sort(list(mean)) AS v FROM m GROUP BY task)
-SELECT task, round_even(v[{_LOW + 1}], 6) AS lo, round_even(v[{_HIGH + 1}], 6) AS hi FROM o""",
-    "q18_verdict": _SIGNS
-    + f""", b AS (SELECT coalesce(min(mean_sign), 0.0) AS lo, coalesce(max(mean_sign), 0.0) AS hi FROM p),
-e AS (SELECT 100.0 * count(reason) / greatest(1, count(*)) AS x FROM t), k AS (SELECT count(*) FILTER (coalesce(mean_sign, 0) <= 0) AS n_short FROM pt),
-n AS (SELECT count(*) AS pairs_graded, coalesce(avg(sign), 0.0) AS net FROM g)
-SELECT CASE WHEN pairs_graded = 0 OR x > {CONFIG.max_excluded_pct} THEN 'provisional' WHEN lo > {CONFIG.margin} THEN 'keep' WHEN hi < -{CONFIG.margin} THEN 'revert' ELSE 'provisional' END AS decision,
-       'click' AS "primary", 'view' AS baseline, pairs_graded, round_even(net, 4) AS net_winrate, round_even(lo, 4) AS lo, round_even(hi, 4) AS hi, round_even(x, 1) AS excluded_pct, n_short
-FROM n, e, k, b""",
     "q19_every_task": _SIGNS + "SELECT task, n_pairs FROM pt WHERE mean_sign IS NULL OR mean_sign <= 0",
     "q20_seal": """WITH d AS (SELECT doc_id AS path, substr(sha256(text), 1, 16) AS sha FROM documents),
 a AS (SELECT path, sha AS was FROM d WHERE path % 11 <> 0),

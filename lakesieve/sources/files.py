@@ -7,6 +7,8 @@ executors read contents, a chunk of paths to a task, from a file system that all
 from __future__ import annotations
 
 import os
+import time
+from collections import deque
 from collections.abc import Iterator
 from datetime import UTC, datetime
 from pathlib import Path
@@ -14,7 +16,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from lakesieve.operators.surfaces import STORE_SKIP, WALK_SKIP
+from lakesieve.operators.surfaces import STORE_SKIP, TEXT_SUFFIXES, TRANSCRIPT_DIRS, WALK_SKIP
 
 PATHS_A_TASK = 1000
 
@@ -68,28 +70,45 @@ class StoreSource(DataSource):
 
 
 class SurfaceReader(DataSourceReader):
+    """One walk over all roots, breadth first, under one limit of entries, depth and seconds; it reports where it was cut."""
+
     def __init__(self, options: dict):
         self.roots = options["roots"].split(os.pathsep)
         self.depth, self.most = int(options.get("maxdepth", 6)), int(options.get("maxentries", 250_000))
+        self.seconds = float(options.get("maxseconds", 20))
 
     def partitions(self) -> list[InputPartition]:
-        return [Chunk([r]) for r in self.roots]
+        return [Chunk(self.roots)]
+
+    @staticmethod
+    def entries(at: str) -> list[os.DirEntry] | None:
+        try:
+            return sorted(os.scandir(at), key=lambda e: e.name)
+        except OSError:
+            return None
 
     def read(self, partition: Chunk) -> Iterator[tuple]:
-        seen, stack = 0, [(r, 0) for r in partition.rows]
-        while stack:
-            at, depth = stack.pop()
-            try:
-                entries = sorted(os.scandir(at), key=lambda e: e.name)
-            except OSError:
+        seen, until, queue = 0, time.monotonic() + self.seconds, deque()
+        for root in partition.rows:
+            if os.path.isdir(root):
+                queue.append((root, 0))
+            else:
+                yield root, False, None, None, False, "unknown-root"
+        while queue:
+            at, depth = queue.popleft()
+            entries = self.entries(at)
+            if entries is None:
+                yield at, True, None, None, False, "unreadable"
                 continue
             for e in entries:
-                if seen >= self.most:
+                if seen >= self.most or time.monotonic() > until:
+                    yield e.path, False, None, None, False, "truncated"
                     return
                 seen += 1
                 try:
                     is_dir, meta = e.is_dir(), e.stat()
                 except OSError:
+                    yield e.path, False, None, None, False, "unreadable"
                     continue
                 if not is_dir and not e.is_file():
                     continue
@@ -97,9 +116,11 @@ class SurfaceReader(DataSourceReader):
                     modified = datetime.fromtimestamp(meta.st_mtime, UTC)
                 except (OSError, ValueError, OverflowError):
                     modified = None
-                yield e.path, is_dir, meta.st_size, modified
+                # a directory's own files tell whether it holds text, walked or not
+                text = is_dir and e.name.lower() in TRANSCRIPT_DIRS and any(os.path.splitext(x.name)[1].lower() in TEXT_SUFFIXES and x.is_file() for x in self.entries(e.path) or [])
+                yield e.path, is_dir, meta.st_size, modified, text, None
                 if is_dir and not e.is_symlink() and e.name not in STORE_SKIP + WALK_SKIP and depth < self.depth:
-                    stack.append((e.path, depth + 1))
+                    queue.append((e.path, depth + 1))
 
 
 class SurfaceSource(DataSource):
@@ -110,7 +131,7 @@ class SurfaceSource(DataSource):
         return "lakesieve_surfaces"
 
     def schema(self) -> str:
-        return "path string, is_dir boolean, size long, modified timestamp"
+        return "path string, is_dir boolean, size long, modified timestamp, has_text boolean, note string"
 
     def reader(self, schema) -> DataSourceReader:
         return SurfaceReader(self.options)
@@ -126,6 +147,6 @@ def read_store(spark: SparkSession, *roots: str, max_bytes: int = 8 * 1024 * 102
     return spark.read.format("lakesieve_store").option("roots", os.pathsep.join(roots)).option("maxbytes", max_bytes).load()
 
 
-def read_surfaces(spark: SparkSession, *roots: str, max_depth: int = 6, max_entries: int = 250_000) -> DataFrame:
+def read_surfaces(spark: SparkSession, *roots: str, max_depth: int = 6, max_entries: int = 250_000, max_seconds: float = 20) -> DataFrame:
     register(spark)
-    return spark.read.format("lakesieve_surfaces").option("roots", os.pathsep.join(roots)).option("maxdepth", max_depth).option("maxentries", max_entries).load()
+    return spark.read.format("lakesieve_surfaces").option("roots", os.pathsep.join(roots)).option("maxdepth", max_depth).option("maxentries", max_entries).option("maxseconds", max_seconds).load()

@@ -85,7 +85,7 @@ def read_family(spark: SparkSession, path: str) -> DataFrame:
     spec = json.loads(Path(path).read_text())
     if spec.get("schema") != 1:
         raise ValueError("family schema must be 1")
-    slots = [(n, s.get("kind"), s.get("min"), s.get("max"), s.get("count"), [str(x) for x in s["of"]] if s.get("of") else None, s.get("sep")) for n, s in spec.get("slots", {}).items()]
+    slots = [(n, s.get("kind"), s.get("min"), s.get("max"), s.get("count"), [json.dumps(x) for x in s["of"]] if isinstance(s.get("of"), list) else None, s.get("sep")) for n, s in spec.get("slots", {}).items()]
     return spark.createDataFrame([(spec.get("id"), spec.get("prompt"), slots)], f"family string, prompt string, slots {SLOTS}")
 
 
