@@ -1,7 +1,8 @@
 """A corpus pipeline: toxic and poor documents go, near-duplicates leave one, secrets are masked, the rest is packed.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next stage's docs; all but the
-last return the columns of documents.
+last return the columns of documents, clashing or further ones too. Null and empty texts, null and repeated ids and empty tables pass through
+every stage as its operator defines; a document without an id has no near duplicates, and of rows equal in id and text one stays.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("quality", drop_poor), ("neardup", drop_near_duplicates), ("secrets", mask_secrets), ("packing", pack)]
 
-#: No stage can be written in SQL; tests/llm checks the stages against brute force.
+#: No stage can be written in SQL; tests/llm holds the operators that the stages call against brute force, and the stages on odd rows.
 ORACLE_SQL = None
 
 
