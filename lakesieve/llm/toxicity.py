@@ -217,6 +217,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> C
         if total > SAMPLE_WORDS:
             break
         got.append(tuple(r))
+    got.sort()
+    got = [got[i] for i in np.random.default_rng(5).permutation(len(got))]
     words, marks, langs = [np.frombuffer(r[3], np.int32).reshape(-1, 1 + len(PREFIXES)) for r in got], np.array([r[1] > 0 for r in got], bool), [r[2] for r in got]
     del got
     net = train(words, marks, langs)
