@@ -71,6 +71,14 @@ def canonical(values: dict) -> str:
     return json.dumps(values, sort_keys=True, separators=(",", ":"))
 
 
+def member(text: str):
+    """A member of a choice or permutation: the value that its JSON text says; a text that is no JSON stands for itself."""
+    try:
+        return json.loads(text)
+    except json.JSONDecodeError:
+        return text
+
+
 REFERENCE = re.compile(r"\{\{\s*(\w+)\s*\}\}")
 
 
@@ -99,7 +107,7 @@ def derived(seeds: DataFrame, families: DataFrame) -> DataFrame:
     def values(family: pd.Series, seed: pd.Series, slots: pd.Series) -> pd.DataFrame:
         out = []
         for f, s, spec in zip(family, seed, slots, strict=True):
-            specs = [x | {"of": [json.loads(m) for m in x["of"]]} if x.get("of") else x for x in json.loads(spec)]
+            specs = [x | {"of": [member(m) for m in x["of"]]} if x.get("of") else x for x in json.loads(spec)]
             got = slot_values(specs, f"{f}/{s}")
             sep = {x["name"]: x.get("sep", " ") for x in specs}
             out.append((canonical(got), {k: sep[k].join(map(str, v)) if isinstance(v, list) else str(v) for k, v in got.items()}))
