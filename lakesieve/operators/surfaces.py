@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakesieve.functions.text import human_size
+
 # Names and suffixes that the classification goes by.
 MEMORY_FILES = ["memory.md", "memories.md", "lessons.md", "learnings.md", "now.md", "agents.md", "claude.md", "journal.md", "aider.chat.history.md"]
 STATE_DIRS = [".agent-state", "agent-state", ".memory", "memory", "memories", "journal", "journals", ".claude", ".codex", ".cursor", ".continue", ".gemini", ".opencode"]
@@ -56,6 +58,11 @@ def ordered(surfaces: DataFrame) -> DataFrame:
     return surfaces.orderBy(F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")), "path")
 
 
+def report(surfaces: DataFrame) -> DataFrame:
+    """Surfaces as lines of text."""
+    return surfaces.select(F.format_string("%-13s %10s  %s  %s", "kind", human_size(F.col("size")), "modified", "path").alias("line"))
+
+
 def walked(entries: DataFrame) -> DataFrame:
     """One row over a walk: entries, directories, what could not be read, unknown roots, and whether it was cut."""
     n = lambda c: F.count_if(c)
