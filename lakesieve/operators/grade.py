@@ -155,10 +155,16 @@ def public_face(excluded: DataFrame) -> DataFrame:
 
 
 def trial_matrix(tasks: DataFrame, arms: DataFrame, repeats: int, seed: int) -> DataFrame:
-    """tasks x arms x repeats in an order set by a keyed hash: position, task, arm, repeat."""
+    """tasks x arms x repeats in an order set by a keyed hash: position from 1, task, arm, repeat.
+
+    Rows are sorted within the 4,096 groups of a key's first three digits, and placed after the rows of all groups before.
+    """
     every = tasks.select("task").crossJoin(F.broadcast(arms.select("arm"))).select("*", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat"))
-    key = F.sha2(F.concat_ws(":", F.lit(seed), "task", "arm", "repeat"), 256)
-    return every.select(F.row_number().over(Window.orderBy(key, "task", "arm", "repeat")).alias("position"), "task", "arm", "repeat")
+    keyed = every.withColumn("key", F.sha2(F.concat_ws(":", F.lit(seed), "task", "arm", "repeat"), 256)).withColumn("part", F.substring("key", 1, 3))
+    sizes = keyed.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each group
+    own = F.row_number().over(Window.partitionBy("part").orderBy("key", "task", "arm", "repeat"))
+    return keyed.withColumn("own", own).join(F.broadcast(before), "part").select((F.col("before") + F.col("own")).alias("position"), "task", "arm", "repeat")
 
 
 def blind(closed: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

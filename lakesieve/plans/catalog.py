@@ -6,7 +6,7 @@ arm = event type, score = value) and, in the order of time and id, a ledger.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakesieve.functions import text as T
@@ -198,9 +198,7 @@ def q26(spark, d):
 
 def q27(spark, d):
     tasks, arms = _table(spark, d, "customer").select(F.col("c_custkey").alias("task")), _table(spark, d, "events").select(F.col("event_type").alias("arm")).distinct()
-    every = tasks.crossJoin(F.broadcast(arms)).select("*", F.explode(F.sequence(F.lit(1), F.lit(2))).alias("repeat"))
-    key = F.sha2(F.concat_ws(":", F.lit(CONFIG.seed), "task", "arm", "repeat"), 256)
-    return every.select("task", "arm", "repeat", F.row_number().over(Window.partitionBy("task").orderBy(key)).alias("position"))
+    return grade.trial_matrix(tasks, arms, 2, CONFIG.seed)
 
 
 PATHS = [
@@ -329,7 +327,7 @@ UNION SELECT i, 'retired in ledger, not in manifest' FROM r WHERE i NOT IN (SELE
 SELECT family, min(k)::INT AS next_n FROM c WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.family = c.family AND u.n = c.k) GROUP BY family""",
     "q26_item_overlap": f"""WITH i AS (SELECT item_id AS instance, {_norm("text")} AS norm FROM benchmark), h AS (SELECT DISTINCT instance, h FROM ({_shingled("instance", "i")}))
 SELECT x.instance AS a, y.instance AS b, count(*) AS n_shared FROM h x JOIN h y USING (h) WHERE x.instance < y.instance GROUP BY ALL HAVING count(*) >= 2""",
-    "q27_trial_matrix": f"""SELECT task, arm, repeat::INT AS repeat, row_number() OVER (PARTITION BY task ORDER BY sha256(concat_ws(':', {CONFIG.seed}, task, arm, repeat))) AS position
+    "q27_trial_matrix": f"""SELECT task, arm, repeat::INT AS repeat, row_number() OVER (ORDER BY sha256(concat_ws(':', {CONFIG.seed}, task, arm, repeat)), task, arm, repeat) AS position
 FROM (SELECT c_custkey AS task FROM customer), (SELECT DISTINCT event_type AS arm FROM events), range(1, 3) r(repeat)""",
     "q28_surfaces": """SELECT * FROM (VALUES ('/h/MEMORY.md', 'memory-file', 10::BIGINT, '?'), ('/h/memory.sqlite', 'vector-store', 10, '?'), ('/h/proj/logs', 'transcripts', -1, '?'),
 ('/h/.claude', 'agent-state', -1, '?'), ('/h/.chroma', 'vector-store', -1, '?'), ('/h/x.faiss', 'vector-store', 10, '?')) t(path, kind, size, modified)""",

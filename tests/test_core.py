@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 
@@ -221,3 +222,20 @@ def test_row_order_does_not_change_a_verdict(spark):
     a = grade.verdict(r, "A", "B", r, grade.GradeConfig(bootstrap_b=100)).collect()
     b = grade.verdict(r.orderBy(F.desc("seq")), "A", "B", r, grade.GradeConfig(bootstrap_b=100)).collect()
     assert a == b
+
+
+def test_trial_matrix_is_one_order_of_all_trials(spark):
+    tasks, arms = spark.range(300).select(F.col("id").alias("task")), spark.createDataFrame([("A",), ("B",)], "arm string")
+    got = grade.trial_matrix(tasks, arms, 3, 7).orderBy("position").collect()
+    every = sorted((hashlib.sha256(f"7:{t}:{a}:{r}".encode()).hexdigest(), t, a, r) for t in range(300) for a in "AB" for r in (1, 2, 3))
+    assert [tuple(r) for r in got] == [(i, *x[1:]) for i, x in enumerate(every, 1)]
+
+
+def test_stream_of_windowed_findings(spark, tmp_path):
+    schema = "ts timestamp, severity string"
+    rows_in = spark.createDataFrame([("2024-01-01 10:05:00", "exact"), ("2024-01-01 10:55:00", "exact"), ("2024-01-01 11:00:00", "near")], "ts string, severity string")
+    rows_in.select(F.col("ts").cast("timestamp").alias("ts"), "severity").write.parquet(str(tmp_path / "in"))
+    q = live.windowed_findings(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.outputMode("complete").format("memory").queryName("windowed").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((r["start"].hour, r["severity"], r["n"]) for r in spark.table("windowed").collect()) == [(10, "exact", 2), (11, "near", 1)]
