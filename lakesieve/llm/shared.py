@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,12 +19,14 @@ SLICE_BYTES = 1 << 20
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a local one is set only where it is unset, as in tests."""
+    """The cluster's shared folder (spark.checkpoint.dir); in local mode, as in tests, one is set where it is unset, elsewhere that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else None
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lakesieve-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
