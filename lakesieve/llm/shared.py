@@ -95,10 +95,10 @@ def cut(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1
             yield batch.slice(a, b - a)
 
 
-def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text") -> DataFrame:
+def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text", limit: int = 1 << 22) -> DataFrame:
     """f on every Arrow batch, in pieces of a few MB of text."""
 
     def run(batches):
-        yield from map(f, cut(batches, text))
+        yield from map(f, cut(batches, text, limit))
 
     return df.mapInArrow(tidied(run), schema)

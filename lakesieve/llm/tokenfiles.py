@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
-from .pieces import default_vocabulary, library_pieces
+from .pieces import TOGETHER_BYTES, default_vocabulary, library_pieces
 
 END, SYMBOLS = 2, 1 << 16
 SCALE = 20
@@ -119,7 +119,7 @@ def _ids_of(path: str):
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         pieces = library_pieces(path)
-        ids = [pieces.ids(t) + end for t in shared.texts_of(batch).to_pylist()]
+        ids = [x + end for x in pieces.ids_of(shared.texts_of(batch).to_pylist())]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return run
@@ -148,7 +148,7 @@ def _seal(*values) -> int:
 def write_token_files(docs: DataFrame, to: str, vocabulary: str | None = None, shards: int | None = None) -> str:
     """(doc_id, text) -> a token file in the folder `to`, which must be new and shared by all executors; returns `to`."""
     vocabulary = vocabulary or default_vocabulary()
-    tokens = shared.stored(shared.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _ids_of(vocabulary), "doc_id long, ids binary"), "tokens")
+    tokens = shared.stored(shared.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _ids_of(vocabulary), "doc_id long, ids binary", limit=TOGETHER_BYTES), "tokens")
     counts = np.zeros(SYMBOLS, np.int64)
     for r in tokens.select("ids").mapInArrow(_count, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect():  # SYMBOLS rows at most
         counts[r["symbol"]] = r["n"]

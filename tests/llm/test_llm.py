@@ -274,6 +274,19 @@ def test_op8_matches_the_library(text):
     assert encoder.decode(want) == own.decode(want, skip_special_tokens=False)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.one_of(st.sampled_from(list("   \n\t'.,#ab zéd\0  sS1tĠĊ日")), st.characters(codec="utf-8")), max_size=40), max_size=8), st.integers(2, 6))
+def test_texts_together_match_single_ones(texts, most):
+    """Pieces looked up together, remembered and forgotten, give the library's ids; so they do when each is encoded alone."""
+    known = pieces.library_pieces(pieces.default_vocabulary())
+    texts += ["x<|endoftext|> y <|endoftext|>\nz", "a b a", "", "Ġ Ċ", "b\na b"]
+    for p in (pieces.Pieces(known.encode, most, known.encode_all), pieces.Pieces(known.encode, most)):
+        for _ in range(2):
+            assert p.ids_of(texts) == [known.ids(t) for t in texts]
+            assert len(p.pieces) == len(p.their_ids) == len(p.uses) <= most
+        assert p.ids_of([]) == []
+
+
 def test_op8_added_tokens_and_long_words(library):
     encoder, _, _ = bpe.encoder(pieces.default_vocabulary())
     for t in ["x<|endoftext|> y", "<|endoftext|>", "ab" * 3000, "a" * 5000]:
