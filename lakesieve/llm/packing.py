@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import shared
-from .pieces import default_vocabulary, library_pieces
+from .pieces import TOGETHER_BYTES, default_vocabulary, library_pieces
 
 CAPACITY, END = 1024, 2
 
@@ -112,10 +112,10 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFr
 
         pieces, part, seen = library_pieces(path), TaskContext.get().partitionId(), defaultdict(int)
         end = np.array([END], "<u4").tobytes()
-        for batch in batches:
+        for batch in shared.cut(batches, limit=TOGETHER_BYTES):
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), shared.texts_of(batch).to_pylist(), strict=True):
-                ids = np.frombuffer(pieces.ids(text), "<u2").astype("<u4").tobytes() + end
+            for doc, short in zip(batch.column(0).to_pylist(), pieces.ids_of(shared.texts_of(batch).to_pylist()), strict=True):
+                ids = np.frombuffer(short, "<u2").astype("<u4").tobytes() + end
                 for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     rows.append((doc, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), part, seen[length]))
                     seen[length] += 1
