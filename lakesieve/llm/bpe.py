@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import shared
-from .pieces import Pieces, byte_letters, default_vocabulary
+from .pieces import TOGETHER_BYTES, Pieces, byte_letters, default_vocabulary
 
 #: The byte-level pre-token pattern (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -143,7 +143,7 @@ def encode_texts(df: DataFrame, path: str | None = None, text: str = "text", out
 
     def add(batch: pa.RecordBatch) -> pa.RecordBatch:
         _, pieces, _ = encoder(path)
-        ids = [np.frombuffer(pieces.ids(t), "<u2").astype(np.int32) for t in shared.texts_of(batch, text).to_pylist()]
+        ids = [np.frombuffer(x, "<u2").astype(np.int32) for x in pieces.ids_of(shared.texts_of(batch, text).to_pylist())]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, out])
 
     return shared.map_arrow(df, add, StructType([*df.schema.fields]).add(out, ArrayType(IntegerType())))
@@ -158,11 +158,11 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe, pieces, decimal = encoder(path)
         counts, written, decoded = [], [], []
-        for t in shared.texts_of(batch).to_pylist():
-            ids = np.frombuffer(pieces.ids(t), "<u2").tolist()
+        for x in pieces.ids_of(shared.texts_of(batch).to_pylist()):
+            ids = np.frombuffer(x, "<u2").tolist()
             counts.append(len(ids))
             written.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
             decoded.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(written), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return shared.map_arrow(shared.documents(spark, sf_dir).select("doc_id", "text"), digest, OP8_SCHEMA)
+    return shared.map_arrow(shared.documents(spark, sf_dir).select("doc_id", "text"), digest, OP8_SCHEMA, limit=TOGETHER_BYTES)
