@@ -2,6 +2,7 @@ import hashlib
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +125,17 @@ def test_registered_verdict_is_the_pooled_bootstrap(spark, tmp_path):
     assert catalog.CONFIG.bootstrap_b == 10_000
 
 
+def test_verdict_of_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(grade, "TASK_DRAWS", 100)
+    r = records(spark, [(i % 5, "AB"[i % 2], float(i * 29 % 13)) for i in range(60)])
+    own = sorted((t, i, j) for t in range(5) for i in range(60) for j in range(60) if i % 5 == j % 5 == t and i % 2 == 0 and j % 2)
+    signs = [(i * 29 % 13 > j * 29 % 13) - (i * 29 % 13 < j * 29 % 13) for _, i, j in own]
+    draw, n = random.Random(3), len(signs)
+    means = sorted(sum(draw.choices(signs, k=n)) / n for _ in range(200))
+    v = grade.verdict(r, "A", "B", r, grade.GradeConfig(bootstrap_b=200, seed=3)).first()
+    assert (v["pairs_graded"], v["lo"], v["hi"]) == (n, round(means[5], 4), round(means[195], 4))
+
+
 def test_bootstrap():
     assert grade.bootstrap_ci([1] * 8, 100, 1) == (1.0, 1.0)
     assert grade.bootstrap_ci([1, -1] * 20, 10_000, 20260918) == (-0.3, 0.3)
@@ -131,6 +143,27 @@ def test_bootstrap():
     assert grade.bootstrap_ci([], 10, 1) == (0.0, 0.0)
 
 
+def test_replicates_are_drawn_by_several_tasks(spark, monkeypatch):
+    rows = [(t, i, j, (t * 7 + i * 5 + j * 3) % 3 - 1) for t in range(9) for i in range(4) for j in range(5)]
+    signs, draw, n, b = [s for *_, s in rows], random.Random(5), len(rows), 300
+    totals = [sum(draw.choices(signs, k=n)) for _ in range(b)]
+    apart = np.concatenate([grade.resampled(grade.in_fours(np.array(signs, np.int8)), n, b * i // 7, b * (i + 1) // 7, 5) for i in range(7)])
+    assert apart.tolist() == totals
+    long = random.Random(2).choices((-1, 0, 1), k=70_001)  # more than one piece, the last one short
+    draw = random.Random(5)
+    assert grade.resampled(grade.in_fours(np.array(long, np.int8)), len(long), 0, 3, 5).tolist() == [sum(draw.choices(long, k=len(long))) for _ in range(3)]
+    monkeypatch.setattr(grade, "TASK_DRAWS", n * b // 6)
+    jobs, mapped = [], type(spark.range(0)).mapInArrow
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, *a, **k: (jobs.append(self), mapped(self, *a, **k))[1])
+    shuffled = random.Random(1).sample(rows, n)
+    got = grade.interval(spark.createDataFrame(shuffled, "task long, a_seq long, b_seq long, sign int"), grade.GradeConfig(bootstrap_b=b, seed=5)).collect()
+    totals.sort()
+    low, high = grade.ranks(b, 0.05)
+    assert [tuple(r) for r in got] == [(totals[low] / n, totals[high] / n, n)]
+    assert jobs[-1].rdd.getNumPartitions() == 6
+    assert grade.interval(spark.createDataFrame([], "task long, a_seq long, b_seq long, sign int"), grade.GradeConfig()).count() == 0
+
+
 def records(spark, scores, drift=()):
     out = [(i, f"t{t}", arm, s, "drift" if i in drift else None) for i, (t, arm, s) in enumerate(scores)]
     return spark.createDataFrame(out, "seq long, task string, arm string, score double, reason string")
