@@ -8,6 +8,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -453,6 +454,42 @@ def test_op2_score_by_brute_force(monkeypatch, corpus):
         assert math.isclose(total, got[i], rel_tol=1e-3)
 
 
+def test_op2_counts_every_successor_and_mixes_one_word_contexts(monkeypatch):
+    """Of a context with many successors the rare ones count too, in one block and in many, and one word before has its own odds."""
+    corpus = [f"p{i} a b s{i}" for i in range(70)] + ["q a b same", "r a b same", "t a b same"]
+    scored, _, model = blocks_of(monkeypatch, corpus, [True] * len(corpus))
+    x, _, bit, first = scored.guesses
+    odds = model.one_odds[contextmix.state(np.array([72]), np.array([2]))][0]
+    for a, b in zip(first[-4:], first[-3:], strict=False):  # of each text with "same"
+        hits = np.flatnonzero(bit[a:b]) + a
+        assert any(np.isclose(x[3, h], odds) and x[0, h] == model.state_odds[contextmix.state(np.array([72]), np.array([2]))][0] for h in hits)
+    rows = [(np.array([n << 16 | s for s in range(1, 200)], np.uint64), np.full(199, 1 + (n == 3), np.int64)) for n in range(5) for _ in range(9)]
+    whole = contextmix.Successors(rows)
+    monkeypatch.setattr(contextmix, "MERGE", 100)
+    pieces = contextmix.Successors(rows)
+    assert whole.total.tolist() == pieces.total.tolist() == [1791 * (1 + (n == 3)) for n in range(5)]
+    assert (whole.sent == pieces.sent).all() and (whole.tries == pieces.tries).all() and whole.sent[0].tolist() == [1] * 5
+
+
+def test_op2_squeezed_columns():
+    r = np.random.default_rng(5)
+    for data in (b"", b"\1", bytes(5000), r.bytes(300)):
+        assert contextmix.loosened(contextmix.squeezed(data)) == data
+    for words in (np.zeros(0, np.uint64), np.sort(r.integers(0, 1 << 64, 300, np.uint64)), np.array([0, 1, (1 << 64) - 1], np.uint64)):
+        assert (contextmix.unpacked_words(contextmix.packed_words(words), len(words)) == words).all()
+
+
+def test_stored_leaves_no_shuffle_files(spark, tmp_path):
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(tracker.getAllFiles()) if f.getName().startswith("shuffle_")}
+    before, setting = files(), spark.conf.get(shared.SHUFFLES, None)
+    got = shared.stored(spark.range(1000).repartition(3, "id"), "kept", done_with_shuffles=True)
+    deadline = time.time() + 20
+    while files() - before and time.time() < deadline:
+        time.sleep(0.1)
+    assert not files() - before and got.count() == 1000 and spark.conf.get(shared.SHUFFLES, None) == setting
+
+
 def test_op2_is_a_distribution():
     """Probabilities of all continuations of three decisions sum to one."""
     x, which = np.random.default_rng(1).normal(0, 2, (4, 3)).astype(np.float32), np.array([0, 3, 0])
