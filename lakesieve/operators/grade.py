@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakesieve.functions import twister
+from lakesieve.functions import draws, twister
 from lakesieve.functions.text import stripped
 
 TASK_DRAWS = 1 << 28  # of a bootstrap, made by one task: some seconds
@@ -113,27 +113,55 @@ def in_order(signs: DataFrame) -> np.ndarray:
     return np.frombuffer(b"".join(r["signs"] for r in own.mapInArrow(packed, "signs binary").collect()), np.int8)
 
 
+def _in_java(places: DataFrame, signs: np.ndarray, b: int, tasks: int, seed: int) -> np.ndarray:
+    """Sums of b replicates, drawn by the executors' JVMs; Python finds where in the generator's sequence each task begins."""
+    spark, n = places.sparkSession, len(signs)
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                first, last = b * i // tasks, b * (i + 1) // tasks
+                state = twister.ahead(twister.seeded(seed), twister.steps(2 * n * first))  # a number takes two words
+                yield pa.RecordBatch.from_arrays([pa.array([state.astype("<u4").tobytes()], pa.binary()), pa.array([last - first], pa.int32())], ["state", "replicates"])
+
+    shared = draws.broadcast(spark, in_fours(signs))
+    drawn = draws.summed(places.mapInArrow(begin, "state binary, replicates int"), shared, n)
+    sums = np.frombuffer(b"".join(r["sums"] for r in drawn.collect()), "<i8")
+    shared.destroy()
+    return sums
+
+
+def _in_python(places: DataFrame, signs: np.ndarray, b: int, tasks: int, seed: int) -> np.ndarray:
+    """The same for more signs than Java's arrays have places."""
+    n, shared = len(signs), places.sparkSession.sparkContext.broadcast(in_fours(signs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                sums = resampled(shared.value, n, b * i // tasks, b * (i + 1) // tasks, seed)
+                yield pa.RecordBatch.from_arrays([pa.array(sums)], ["total"])
+
+    sums = places.mapInArrow(run, "total long").toArrow()["total"].to_numpy()
+    shared.destroy()
+    return sums
+
+
 def interval(signs: DataFrame, config: GradeConfig) -> DataFrame:
     """One row (lo, hi, n), none without pairs: the standard generator over pairs in the order task, a_seq, b_seq. Runs its jobs when called.
 
-    Tasks draw replicates from the places in the generator's sequence where these begin; each holds all signs, four to a byte, as any draw can be any of them.
+    Tasks draw replicates from the places in the generator's sequence where these begin; each executor holds all signs, as any draw can be any of them.
     """
     spark, own = signs.sparkSession, in_order(signs)
     n, b = len(own), config.bootstrap_b
     schema = "lo double, hi double, n long"
     if not n:
         return spark.createDataFrame([], schema)
-    shared = spark.sparkContext.broadcast(in_fours(own))
     tasks = min(b, -(-n * b // TASK_DRAWS))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in batch.column(0).to_pylist():
-                sums = resampled(shared.value, n, b * i // tasks, b * (i + 1) // tasks, config.seed)
-                yield pa.RecordBatch.from_arrays([pa.array(sums)], ["total"])
-
-    sums = spark.range(0, tasks, 1, tasks).mapInArrow(run, "total long").toArrow()["total"].to_numpy()
-    shared.destroy()
+    places = spark.range(0, tasks, 1, tasks)
+    if n > draws.MOST:
+        sums = _in_python(places, own, b, tasks, config.seed)
+    else:
+        sums = _in_java(places, own, b, tasks, config.seed)
     return spark.createDataFrame([(*percentiles(sums, n, config.alpha), n)], schema)
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lakesieve.functions import draws, twister
 from lakesieve.functions import text as T
 from lakesieve.operators import grade, holdout, ledger, scan, seal, surfaces
 from lakesieve.plans import catalog
@@ -164,6 +165,25 @@ def test_replicates_are_drawn_by_several_tasks(spark, monkeypatch):
     assert grade.interval(spark.createDataFrame([], "task long, a_seq long, b_seq long, sign int"), grade.GradeConfig()).count() == 0
 
 
+@pytest.mark.parametrize("n, b, first", [(1, 5, 0), (20, 40, 3), (313, 7, 2), (70_001, 3, 1)])
+def test_replicates_drawn_in_java(spark, n, b, first):
+    signs, draw = random.Random(n).choices((-1, 0, 1), k=n), random.Random(5)
+    totals = [sum(draw.choices(signs, k=n)) for _ in range(first + b)]
+    state = twister.ahead(twister.seeded(5), twister.steps(2 * n * first)).astype("<u4").tobytes()
+    begun = spark.createDataFrame([(bytearray(state), b)], "state binary, replicates int")
+    got = draws.summed(begun, draws.broadcast(spark, grade.in_fours(np.array(signs, np.int8))), n).first()["sums"]
+    assert np.frombuffer(got, "<i8").tolist() == totals[first:]
+    assert not any(f.name.startswith("lakesieve") for f in spark.catalog.listFunctions())
+
+
+def test_more_signs_than_java_has_places(spark, monkeypatch):
+    signs = spark.createDataFrame([(i % 3, i, 0, i % 5 % 3 - 1) for i in range(50)], "task long, a_seq long, b_seq long, sign int")
+    config = grade.GradeConfig(bootstrap_b=100, seed=4)
+    inside = grade.interval(signs, config).first()
+    monkeypatch.setattr(draws, "MOST", 49)
+    assert grade.interval(signs, config).first() == inside
+
+
 def records(spark, scores, drift=()):
     out = [(i, f"t{t}", arm, s, "drift" if i in drift else None) for i, (t, arm, s) in enumerate(scores)]
     return spark.createDataFrame(out, "seq long, task string, arm string, score double, reason string")
