@@ -9,6 +9,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -505,6 +506,26 @@ def test_op2_tells_texts_that_occur_twice(spark):
     assert max(twice) < 0.5 * np.median([rows[i] for i in range(10, 150)])
 
 
+def test_op2_holds_little_at_once(monkeypatch, spark):
+    """Mixing takes a bounded number of bytes a decision, and tasks that score grow in number with the text."""
+    r = random.Random(3)
+    words = [[f"{r.getrandbits(60):x}" for _ in range(200)] for _ in range(60)]
+    scored, marks, _ = blocks_of(monkeypatch, [" ".join(w) for w in words], [i % 10 != 0 for i in range(60)])
+    decisions = len(scored.letters()[1])
+    assert decisions > 500_000
+    tracemalloc.start()
+    try:
+        scored.bits(np.array(marks))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 76 * decisions
+    tasks = lambda n: contextmix.scores(frame(spark, ["a b c"] * n), shared.crc_of_id() % 10 != 0).rdd.getNumPartitions()
+    few = tasks(10)
+    monkeypatch.setattr(contextmix, "TASK_BYTES", 100, raising=False)
+    assert tasks(200) > 5 * few
+
+
 def test_op2_packed_keys():
     r = np.random.default_rng(4)
     for top, width in ((1 << 26, "<u2"), (300, "<u2"), (1 << 34, "<u4")):
